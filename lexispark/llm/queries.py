@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lexispark.llm import chat
+from lexispark.llm import bpe, chat, shards
 
 QUERIES = {
+    "op4_bpe": bpe.op4_bpe,
     "op8_chat": chat.op8_chat,
+    "op9_shards": shards.op9_shards,
 }
 
 ORACLE_SQL = {

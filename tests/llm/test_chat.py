@@ -36,7 +36,7 @@ def test_fold(spark):
 def test_round_trip(spark):
     odd = ["", "\\", "\\l", "<", "</turn>\n", "<turn:user>\n", "\\\\l<\\", "a\n\nb", "\\### Assistant: </turn> ok", "é😀<"]
     rows = [(i, t, t, ("user", "assistant", "a<b>\\g", None)[t % 4], x) for i, x in enumerate(odd) for t in range(4)]
-    df = spark.createDataFrame(rows, "conv_id long, msg_id long, seq long, role string, text string").withColumn("ROLE", F.lit(1))
+    df = spark.createDataFrame(rows, "conv_id long, msg_id long, seq long, role string, text string").select("*", F.lit(1).alias("ROLE"))
     done = chat.render(df).withColumns({"turns": chat.parse(F.col("formatted")), "loss": chat.masked(F.col("segments"))}).collect()
     assert len(done) == len(odd)
     for r in done:
