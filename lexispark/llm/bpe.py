@@ -116,6 +116,11 @@ class Tokenizer:
         pairs.sort()
         self.pair = np.array([p for p, _ in pairs] or [-1], np.int64)
         self.merged = np.array([r for _, r in pairs] or [NONE], np.int32)
+        # tokens that some neighbour may merge with at a lower rank than the token's own
+        self.lower = np.zeros(top, np.bool_)
+        if pairs:
+            for side in (self.pair >> 32, self.pair & 0xFFFFFFFF):
+                self.lower[side[self.merged < side]] = True
         a, b = np.meshgrid(self.single.astype(np.int64), self.single.astype(np.int64), indexing="ij")
         self.bytes_pair = self.rank(a.ravel(), b.ravel()).reshape(256, 256)
         sizes = np.array([len(t) for t in self.tokens], np.int64)
@@ -131,9 +136,10 @@ class Tokenizer:
     def replay(self, data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of the words ``data[first[i]:first[i + 1]]``: all ids one after another, and offsets by word.
 
-        A word's merges happen in the order that a search for its lowest rank, leftmost first, would take: of
-        the positions of a rank only the first of each word is applied, the others are taken up again after
-        any lower rank that this has brought about.
+        A word's merges come out as a search for its lowest rank, leftmost first, would have them. Where the
+        merged token can't form a pair of lower rank, all its positions are applied at once, every second
+        one of a chain of overlapping pairs. Otherwise only the first of each word is applied, and the others
+        are taken up again after any lower rank that this has brought about.
         """
         n = len(data)
         if not n:
@@ -180,7 +186,13 @@ class Tokenizer:
             at = at[rank[at] == r]
             if not len(at):
                 continue
-            if len(at) > 1:
+            if len(at) > 1 and not self.lower[r]:
+                joined = after[at[:-1]] == at[1:]
+                if joined.any():
+                    place = np.arange(len(at))
+                    begin = np.concatenate([[True], ~joined])
+                    at = at[(place - np.maximum.accumulate(np.where(begin, place, 0))) % 2 == 0]
+            elif len(at) > 1:
                 own = word[at]
                 lead = np.empty(len(at), np.bool_)
                 lead[0] = True
@@ -280,6 +292,10 @@ def _binary(values: np.ndarray, offs: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(offs.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+#: Bytes of input that one step of a Python worker takes, whole rows at a time: bounds its memory.
+STEP = 6 << 20
+
+
 def _mapped(df: DataFrame, source: str, added: str, fn) -> DataFrame:
     rest = without(df, [added], keep=(source,))
     schema = StructType([*rest.schema.fields, StructField(added, BinaryType())])
@@ -287,9 +303,11 @@ def _mapped(df: DataFrame, source: str, added: str, fn) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = fn(batch.column(batch.schema.get_field_index(source)))
-            for lo in range(0, batch.num_rows, 2048):
-                columns = [*batch.slice(lo, 2048).columns, column.slice(lo, 2048)]
+            column = batch.column(batch.schema.get_field_index(source))
+            size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in blocks(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), STEP):
+                part = batch.slice(lo, hi - lo)
+                columns = [*part.columns, fn(column.slice(lo, hi - lo))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return rest.mapInArrow(run, schema)
@@ -301,7 +319,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     ``path`` is a rank file that every executor can read. The ids are those that the usual search for the
     lowest rank gives, without special tokens. Null and empty texts have no ids; a column named like
     ``ids``, in any case, is replaced; repeated rows are encoded each; an empty table stays empty. No row
-    leaves its partition: each batch of documents is the corpus whose distinct words are replayed.
+    leaves its partition: ``STEP`` bytes of documents are the corpus whose distinct words are replayed.
     """
 
     def column(texts: pa.Array) -> pa.Array:

@@ -70,7 +70,7 @@ def test_classes_are_those_of_the_library():
         for i in range(256):
             ranks[bytes([x, i])] = len(ranks)
     lib = tiktoken.Encoding("classes", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    points = [*range(0x80, 0xD800), *range(0xE000, 0x34000)]
+    points = [*range(0x80, 0xD800), *range(0xE000, 0xE010), *range(0x10000, 0x20000), *range(0x2A6D0, 0x2B750), *range(0x32390, 0x33490)]
     kinds = bpe.classes()[points]
     for x, kind in (("x", bpe.LETTER), ("1", bpe.NUMBER), ("!", bpe.OTHER)):
         joined = np.array([ids[0] != ord(x) for ids in lib.encode_ordinary_batch([x + chr(c) for c in points])])
