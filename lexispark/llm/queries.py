@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from lexispark.llm import bpe, chat, shards
+from lexispark.llm import bpe, chat, decontam, quality, shards
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op3_decontaminate": decontam.op3_decontaminate,
     "op4_bpe": bpe.op4_bpe,
     "op8_chat": chat.op8_chat,
     "op9_shards": shards.op9_shards,
 }
 
 ORACLE_SQL = {
+    "op3_decontaminate": decontam.OP3_SQL,
     "op8_chat": chat.OP8_SQL,
 }
