@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexispark.llm import bpe, chat, decontam, quality, shards
+from lexispark.llm import bpe, chat, decontam, jaccard, quality, shards
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_bpe": bpe.op4_bpe,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op8_chat": chat.op8_chat,
     "op9_shards": shards.op9_shards,
 }
