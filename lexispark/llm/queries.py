@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lexispark.llm import bpe, chat, decontam, jaccard, quality, shards
+from lexispark.llm import bpe, chat, decontam, jaccard, pii, quality, shards, suffix
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_bpe": bpe.op4_bpe,
     "op6_jaccard": jaccard.op6_jaccard,
+    "op7_pii": pii.op7_pii,
     "op8_chat": chat.op8_chat,
     "op9_shards": shards.op9_shards,
+    "op10_suffix": suffix.op10_suffix,
 }
 
 ORACLE_SQL = {
