@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lexispark.llm import bpe, chat, decontam, jaccard, pii, quality, shards, suffix
+from lexispark.llm import bpe, chat, decontam, jaccard, licenses, lm, pii, quality, shards, suffix
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_licenses": licenses.op2_licenses,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_bpe": bpe.op4_bpe,
+    "op5_lm": lm.op5_lm,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_pii": pii.op7_pii,
     "op8_chat": chat.op8_chat,
