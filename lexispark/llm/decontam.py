@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from lexispark.llm._spark import cut, exact, load
+from lexispark.llm._spark import cut, exact, load, without
 from lexispark.llm._text import ALNUM, U64, Words, blocks, folded, grams, mix, table, utf8, words
 
 #: A window of items and the words that a fingerprint covers: each window holds a fingerprint that is the
@@ -223,6 +223,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     )
 
 
+def scrub(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **names) -> DataFrame:
+    """``docs`` without the contaminated ones, and without the hit words of the others; see :func:`decontaminate`.
+
+    Each hit stretch is cut out, from the first byte of its first word to the last of its last. Null texts
+    stay null. Columns whose names clash with another one's, in any case, are left out, the first stays.
+    """
+    rest = without(docs, ["_id", "_cut", "_gone"], keep=(key, text))
+    rest_id = F.xxhash64(F.col(key), F.col(key).isNull(), F.col(text))
+    found = decontaminate(rest.select(rest_id.alias("_id"), F.col(text).alias("_text")), benchmark, "_id", "_text", **names)
+    found = found.where(F.size("spans") > 0).select("_id", F.col("spans").alias("_cut"), F.col("contaminated").alias("_gone")).dropDuplicates(["_id"])
+    done = rest.withColumn("_id", rest_id).join(found, "_id", "left").where(~F.coalesce("_gone", F.lit(False)))
+    raw = F.encode(text, "UTF-8")
+    starts = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cut", lambda x: x["hi"]))
+    ends = F.concat(F.transform("_cut", lambda x: x["lo"]), F.array(F.octet_length(text).cast("long")))
+    kept = F.zip_with(starts, ends, lambda a, b: F.decode(F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")), "UTF-8"))
+    clean = F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.array_join(kept, ""))
+    return done.select(*[clean.alias(c) if c == text else F.col(c) for c in rest.columns])
+
+
 # ---------------------------------------------------------------------------------------------- query
 
 

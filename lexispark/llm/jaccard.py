@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm._graph import components, local_roots
-from lexispark.llm._spark import cut, exact, load
+from lexispark.llm._spark import cut, exact, load, without
 from lexispark.llm._text import SPACE, U64, Words, blocks, by_doc, grams, mix, powers, table, utf8, words
 
 WIDTH = 5
@@ -282,6 +282,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     )
 
 
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+    """``docs`` with one document of each class of :func:`near_duplicates`, all columns kept; of repeated rows one stays.
+
+    Columns whose names clash with another one's, in any case, are left out, the first stays.
+    """
+    found = near_duplicates(docs, key, text, **limits).where("first").select(F.col(key).alias("_first"), F.col("same").alias("_first_same")).distinct()
+    rest = without(docs, ["_same", "_n", "_first", "_first_same"], keep=(key, text))
+    rows = rest.withColumn("_same", F.xxhash64(text)).join(found, F.col(key).eqNullSafe(F.col("_first")) & (F.col("_same") == F.col("_first_same")))
+    one = F.row_number().over(Window.partitionBy(key, "_same").orderBy("_same"))
+    return rows.withColumn("_n", one).where("_n = 1").select(*rest.columns)
+
+
 # ---------------------------------------------------------------------------------------------- query
 
 
