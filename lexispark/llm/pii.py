@@ -121,6 +121,9 @@ def disclosing_terms(seen: DataFrame, docs: DataFrame, text: str, support: int,
     often = rows.groupBy("entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("_doc").alias("n_e")).where(F.col("contexts") >= support)
     pairs = rows.join(often.select("entity"), "entity", "left_semi").select("entity", "_doc", "context", F.explode("terms").alias("term"))
     pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("_doc").alias("n_te")).where(F.col("contexts") >= support)
+    # n(t) isn't less than the documents in which the term is next to any entity, so a term that fails on these fails
+    around = rows.select("_doc", F.explode("terms").alias("term")).groupBy("term").agg(F.countDistinct("_doc").alias("n_around"))
+    pairs = pairs.join(around, "term").where(F.col("n_te") >= probability * F.col("n_around")).drop("n_around")
     pairs = cut(pairs.join(often.select("entity", "n_e"), "entity"), "term-pairs")
     terms = pairs.select("term").distinct()
     many = terms.count()
