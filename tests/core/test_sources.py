@@ -66,7 +66,7 @@ LINES = [
     '{"time": "t", "severity": "", "log_level": "warn", "spanId": "t1", "text": "b", "error_code": 0}',
     "",
     '{"level": "info", "txnId": "x9", "msg": ""}',
-    "plain text with Error inside",
+    "plain text with errors inside",
 ]
 
 
