@@ -276,10 +276,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     long_enough = base.where(F.octet_length("text") >= length).select("t1", "t2", "text")
 
     samples = cut(long_enough.mapInArrow(_samples(length), "rank long, t1 long, t2 long, at long, w long"), "samples")
-    again = samples.groupBy("rank").agg(F.sum("w").alias("n")).where("n > 1").select("rank")
+    # written, so that the join below reads two plain exchanges and adaptive execution can split a rank that is everywhere
+    again = cut(samples.groupBy("rank").agg(F.sum("w").alias("n")).where("n > 1").select("rank"), "repeated-ranks")
     group_of = F.pmod(F.xxhash64(F.lit(2), "t1", "t2"), F.lit(groups)).alias("s")
     known = cut(samples.join(again, "rank", "left_semi").select("t1", "t2", "at").distinct().select(group_of, "t1", "t2", "at"), "repeated-samples")
     drop_cut(samples)
+    drop_cut(again)
 
     texts = long_enough.mapInArrow(_filtered(_marks(known)), "t1 long, t2 long, w long, text string").select(group_of, "t1", "t2", "w", "text")
     packed = texts.groupBy("s").cogroup(known.groupBy("s")).applyInArrow(_compare(length, buckets), "s long, bucket long, ranks binary")
