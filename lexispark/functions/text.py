@@ -74,13 +74,16 @@ def hash_term(term: Column, n_features: int) -> tuple[Column, Column]:
 
 def is_heading(text: Column) -> Column:
     """Short paragraphs that look like a heading: capitals, numbered, title case, or capitals with digits."""
-    t = strip(text)
-    short = (F.length(t) > 0) & (F.length(t) < 100) & ~t.rlike(r"[.,;:]$")
+    return F.element_at(F.transform(F.array(strip(text)), heads), 1)
+
+
+def heads(t: Column) -> Column:
+    """As :func:`is_heading`, for a paragraph without blanks around it; long ones are told by their length alone."""
     upper = (F.upper(t) == t) & (F.lower(t) != t)
     numbered = t.rlike(r"^(?U)\d+\.?\s+\w")
     title = t.rlike(r"^[A-Z][a-z]+(?U:\s+[A-Z][a-z]+)*$")
     capitals = t.rlike(r"^(?U:[A-Z0-9\s\-:])+$") & (F.length(t) < 80)
-    return short & (upper | numbered | title | capitals)
+    return F.when(F.length(t).between(1, 99), ~t.rlike(r"[.,;:]$") & (upper | numbered | title | capitals)).otherwise(False)
 
 
 def format_table(rows: Column) -> Column:

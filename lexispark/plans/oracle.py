@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from lexispark.functions import text as T
-from lexispark.operators import embed
+from lexispark.operators import embed, learned
 from lexispark.plans import queries as Q
 from lexispark.plans import search
+from lexispark.sources import tal
 
 V = Q.VOCABULARY
 
@@ -104,16 +105,39 @@ def traces(limit: int, more: str = "", by: str = "") -> str:
       FROM (SELECT *, row_number() OVER (PARTITION BY {by} trace_id ORDER BY line_number) AS rn FROM (SELECT *{more} FROM {ENTRIES})) WHERE rn <= {limit} GROUP BY {by} trace_id)"""
 
 
-# one window of the text at a time: where a chunk ends, and where the next begins
-CHUNKED = f"""RECURSIVE steps(doc_id, text, s, e) AS (
-  SELECT doc_id, text, 0, 0 FROM documents WHERE length(text) > 1200
-  UNION ALL
-  SELECT doc_id, text, CASE WHEN e = 0 THEN 0 ELSE e - 100 END AS s2,
-    CASE WHEN (CASE WHEN e = 0 THEN 0 ELSE e - 100 END) + 1200 < length(text) THEN (CASE WHEN e = 0 THEN 0 ELSE e - 100 END) + coalesce(
-      {', '.join(f"1200 - nullif(instr(reverse(substr(text, (CASE WHEN e = 0 THEN 0 ELSE e - 100 END) + 601, 600)), {' || '.join('chr(10)' if c == chr(10) else q(c) for c in b[::-1])}), 0) + 1" for b in T.BREAKS)}, 1200)
-    ELSE (CASE WHEN e = 0 THEN 0 ELSE e - 100 END) + 1200 END
-  FROM steps WHERE (CASE WHEN e = 0 THEN 0 ELSE e - 100 END) < length(text)),
-pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i, {strip('substr(text, s + 1, e - s)')} AS chunk FROM steps WHERE e > 0 AND {strip('substr(text, s + 1, e - s)')} <> '')"""
+
+
+def literal(text: str) -> str:
+    return " || chr(10) || ".join(map(q, text.split(chr(10))))
+
+
+def chunked(source: str, size: int, overlap: int) -> str:
+    """steps and pieces (key, i, chunk) of the texts (key, text) of ``source`` that are longer than ``size``: one window of the text at a time."""
+    start, half = f"(CASE WHEN e = 0 THEN 0 ELSE e - {overlap} END)", size // 2
+    ends = ", ".join(f"{size} - nullif(instr(reverse(substr(text, {start} + {half + 1}, {size - half})), {' || '.join('chr(10)' if c == chr(10) else q(c) for c in b[::-1])}), 0) + 1" for b in T.BREAKS)
+    return f"""RECURSIVE steps(key, text, s, e) AS (
+      SELECT key, text, 0, 0 FROM {source} WHERE length(text) > {size}
+      UNION ALL SELECT key, text, {start}, CASE WHEN {start} + {size} < length(text) THEN {start} + coalesce({ends}, {size}) ELSE {start} + {size} END FROM steps WHERE {start} < length(text)),
+    pieces AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY s) - 1 AS i, {strip('substr(text, s + 1, e - s)')} AS chunk FROM steps WHERE e > 0 AND {strip('substr(text, s + 1, e - s)')} <> '')"""
+
+
+def ascii_words(x: str, letter: str) -> str:
+    """Text with ``letter`` for each letter or digit that isn't ASCII, so that word boundaries, which are ASCII here, lie where they do in Unicode."""
+    return f"regexp_replace(regexp_replace({x}, '[^\\x00-\\x7F\\p{{L}}\\p{{N}}\\p{{M}}]', ' ', 'g'), '[^\\x00-\\x7F]', '{letter}', 'g')"
+
+
+def heading(t: str) -> str:
+    return f"""(length({t}) > 0 AND length({t}) < 100 AND NOT regexp_matches({t}, '[.,;:]$') AND (
+        (upper({t}) = {t} AND lower({t}) <> {t}) OR regexp_matches({t}, '^\\d+\\.?\\s+\\w') OR regexp_matches({t}, '^[A-Z][a-z]+(\\s+[A-Z][a-z]+)*$') OR (regexp_matches({t}, '^[A-Z0-9\\s\\-:]+$') AND length({t}) < 80)))"""
+
+
+#: Paragraphs, then the sections that headings divide them into; the numbers of sections count those that are left out later.
+SECTIONS = f"""par AS (SELECT doc_id, n, {strip('p')} AS p FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n\n+')) AS p, unnest(range(len(regexp_split_to_array(text, '\n\n+')))) AS n FROM documents)),
+  g AS (SELECT doc_id, n, p, h, sum(CAST(h AS INT)) OVER (PARTITION BY doc_id ORDER BY n) AS g FROM (SELECT *, NOT contains(p, chr(10)) AND {heading('p')} AS h FROM par WHERE p <> '')),
+  sec AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS k, title, {strip('body')} AS text FROM (
+    SELECT doc_id, g, max(p) FILTER (h) AS title, string_agg(p, chr(10) || chr(10) ORDER BY n) FILTER (NOT h) AS body FROM g GROUP BY ALL) WHERE body IS NOT NULL),
+  long AS (SELECT doc_id || '/' || k AS key, text FROM sec WHERE length(text) > 1500)"""
+CHUNKED = chunked("(SELECT doc_id AS key, text FROM documents)", 1200, 100)
 
 #: Where each term begins: splits leave the pieces between, whose lengths add up.
 PLACES = f"""o AS MATERIALIZED (SELECT doc_id, term, sum(length(piece) + length(term)) OVER (PARTITION BY doc_id, term ORDER BY n) - length(term) AS pos FROM (
@@ -172,10 +196,19 @@ ORACLE_SQL = {
     "explain_embedding": f"{WITH_DOCS} {normal(ACTIVE, 'doc_id, name', 6)}",
     "hybrid_embedding": f"""{WITH_DOCS}, c AS ({normal(ACTIVE, 'doc_id, CAST(idx AS BIGINT) AS idx', 15)}), h AS ({normal(hashed(64), 'doc_id, idx', 15)})
       SELECT doc_id, idx, round(0.6 * weight, 5) AS weight FROM c UNION ALL SELECT doc_id, idx + {embed.ConceptEmbedder(V).n_dimensions}, round(0.4 * weight, 5) FROM h""",
-    "heading_detection": f"""SELECT i, length(t) > 0 AND length(t) < 100 AND NOT regexp_matches(t, '[.,;:]$') AND (
-        (upper(t) = t AND lower(t) <> t) OR regexp_matches(t, '^\\d+\\.?\\s+\\w') OR regexp_matches(t, '^[A-Z][a-z]+(\\s+[A-Z][a-z]+)*$') OR (regexp_matches(t, '^[A-Z0-9\\s\\-:]+$') AND length(t) < 80)) AS heading
-      FROM (SELECT i, trim(line) AS t FROM {values([(str(i), q(h)) for i, h in enumerate(Q.HEADINGS)], 'i, line')})""",
-    "chunk_text": f"WITH {CHUNKED} SELECT doc_id, i, md5(chunk) AS chunk_md5 FROM pieces UNION ALL SELECT doc_id, 0, md5(text) FROM documents WHERE length(text) <= 1200",
+    "heading_detection": f"SELECT i, {heading('t')} AS heading FROM (SELECT i, trim(line) AS t FROM {values([(str(i), q(h)) for i, h in enumerate(Q.HEADINGS)], 'i, line')})",
+    "doc_sections": f"""WITH {chunked('long', 1200, 100).replace('RECURSIVE', f'RECURSIVE {SECTIONS},', 1)},
+      c AS (SELECT doc_id, title, CAST(k AS VARCHAR) AS chunk_index, text FROM sec WHERE length(text) BETWEEN 20 AND 1500 UNION ALL SELECT doc_id, title, k || '_' || i, chunk FROM pieces JOIN sec ON key = doc_id || '/' || k)
+      SELECT 'd' || doc_id AS path, chunk_index, 'document_' || left(md5('d' || doc_id || ':' || left(text, 200) || ':' || chunk_index), 12) AS chunk_id,
+        CASE WHEN coalesce(title, '') <> '' THEN 'section' ELSE 'paragraph' END AS semantic_type, md5(text) AS text_md5 FROM c""",
+    "llm_sanitized": f"""SELECT doc_id, md5({strip("regexp_replace(regexp_replace(chr(1) || 'a' || chr(160) || repeat(chr(10), 4) || 'b' || chr(8232) || text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\x{a0}\\x{ad}\\x{1680}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}\\x{feff}\\x{e000}-\\x{f8ff}]', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")}) AS clean_md5 FROM documents""",
+    "tal_procedures": f"""WITH t AS (SELECT string_split({literal(Q.TAL)}, chr(10)) AS x), l AS (SELECT unnest(x) AS line, unnest(range(1, len(x) + 1)) AS n FROM t),
+      g AS (SELECT *, regexp_matches(line, {q(tal.PROC)}) AS h, sum(CAST(regexp_matches(line, {q(tal.PROC)}) AS INT)) OVER (ORDER BY n) AS g FROM l),
+      p AS (SELECT g, max(line) FILTER (h) AS head, min(n) AS line_start, max(n) AS line_end, string_agg(line, chr(10) ORDER BY n) AS text FROM g WHERE g > 0 GROUP BY g),
+      k AS (SELECT *, list_sort(list_distinct(regexp_extract_all(text, '\\$[A-Z][A-Z0-9_]*') || regexp_extract_all(text, '(?i)CALL\\s+([A-Za-z_][A-Za-z0-9_\\^]*)', 1) || regexp_extract_all(text, '\\b([A-Z][A-Z0-9_]{{3,}})\\b', 1) || regexp_extract_all(text, '"([^"]+)"', 1))) AS words FROM p)
+      SELECT regexp_extract(head, {q(tal.PROC)}, 2) AS procedure_name, nullif(regexp_extract(head, {q(tal.PROC)}, 1), '') AS return_type, line_start, line_end, array_to_string(words, ',') AS keywords,
+        'code_' || left(md5('a.tal:' || left(text, 200) || ':' || regexp_extract(head, {q(tal.PROC)}, 2)), 12) AS chunk_id FROM k""",
+    "chunk_text": f"WITH {CHUNKED} SELECT key AS doc_id, i, md5(chunk) AS chunk_md5 FROM pieces UNION ALL SELECT doc_id, 0, md5(text) FROM documents WHERE length(text) <= 1200",
     "chunk_ids": "SELECT doc_id, 'document_' || left(md5(source || ':' || left(text, 200) || ':'), 12) AS chunk_id, left(md5(source || ':' || left(text, 100)), 12) AS fallback_id FROM documents",
     "html_strip": f"SELECT page_id, md5({strip(f'''regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{_BLANK}+', ' ', 'g')''')}) AS text_md5 FROM pages",
     "embedding_texts": f"""{WITH_DOCS}, c AS (SELECT doc_id, list(canonical ORDER BY n) AS names, list(caps[1:2] ORDER BY n) AS caps FROM m GROUP BY doc_id),
@@ -183,7 +216,7 @@ ORACLE_SQL = {
       h AS (SELECT doc_id, text, concat_ws(' ', CASE WHEN names IS NOT NULL THEN 'Document section about ' || array_to_string(names, ', ') || '.' END, CASE WHEN len(caps) > 0 THEN 'Business capabilities: ' || array_to_string(caps, ', ') || '.' END, 'Section: T') AS head,
         coalesce(length('Document section about ' || array_to_string(names, ', ') || '.'), 0) + CASE WHEN len(caps) > 0 THEN length('Business capabilities: ' || array_to_string(caps, ', ') || '.') ELSE 0 END + 10 AS used FROM documents LEFT JOIN d USING (doc_id))
       SELECT doc_id, md5(head || ' ' || left(text, 1500 - used)) AS said_md5 FROM h""",
-    "markdown_sections": f"""WITH t AS (SELECT string_split({" || chr(10) || ".join(map(q, Q.MARKDOWN.split(chr(10))))}, chr(10)) AS x), l AS (SELECT unnest(x) AS line, unnest(range(len(x))) AS n FROM t),
+    "markdown_sections": f"""WITH t AS (SELECT string_split({literal(Q.MARKDOWN)}, chr(10)) AS x), l AS (SELECT unnest(x) AS line, unnest(range(len(x))) AS n FROM t),
       g AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+.+$') AS head, sum(CAST(regexp_matches(line, '^#{{1,6}}\\s+.+$') AS INT)) OVER (ORDER BY n) AS g FROM l),
       s AS (SELECT g, max(line) FILTER (head) AS h, {strip("coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT head), '')")} AS content FROM g WHERE g > 0 GROUP BY g)
       SELECT row_number() OVER (ORDER BY g) - 1 AS i, regexp_extract(h, '^#{{1,6}}\\s+(.+)$', 1) AS title, content, length(regexp_extract(h, '^#+')) - 1 AS section_level FROM s WHERE content <> ''""",
@@ -201,6 +234,27 @@ ORACLE_SQL = {
     "npmi": f"""WITH {PLACES}, {PAIRS}, f AS (SELECT term, count(*) AS f FROM o GROUP BY term),
       x AS (SELECT t1, t2, cnt, cnt / sum(cnt) OVER () AS j, a.f / (SELECT sum(f) FROM f) AS p1, b.f / (SELECT sum(f) FROM f) AS p2 FROM c JOIN f a ON a.term = t1 JOIN f b ON b.term = t2)
       SELECT t1, t2, cnt, round(CASE WHEN j < 1 THEN greatest(0, ln(j / (p1 * p2)) / -ln(j)) ELSE 0 END, 6) AS npmi FROM x""",
+    "llm_context_text": f"""{WITH_POSTINGS}, top AS (SELECT *, row_number() OVER (ORDER BY c DESC, chunk_id) AS rank FROM {scored()} ORDER BY c DESC, chunk_id LIMIT 6),
+      x AS (SELECT rank, source_type, path, {strip('text')} AS body, 'Score: ' || printf('%.3f', c) AS score,
+        'Concepts: ' || (SELECT array_to_string(list(DISTINCT canonical ORDER BY canonical)[1:5], ', ') FROM m WHERE m.chunk_id = top.chunk_id AND list_contains({_ASKED}, lower(canonical))) AS concepts,
+        (SELECT flatten(list(caps ORDER BY n)) FROM m WHERE m.chunk_id = top.chunk_id) AS caps FROM top JOIN {CHUNKS} USING (chunk_id)),
+      y AS (SELECT *, 'Capabilities: ' || nullif(array_to_string(list_filter(caps, lambda v, i: list_position(caps, v) = i)[1:5], ', '), '') AS capabilities FROM x),
+      z AS (SELECT rank, source_type, CASE source_type WHEN 'code' THEN concat_ws(chr(10), chr(10) || '--- File: ' || path || ' ---', score, concepts, capabilities, chr(10) || '```', body, '```')
+        WHEN 'document' THEN concat_ws(chr(10), chr(10) || '--- Document: ' || path || ' ---', score, concepts, '', body) ELSE concat_ws(chr(10), chr(10) || '--- Log: ' || path || ' ---', score, '', body) END AS said FROM y),
+      w AS (SELECT concat_ws(chr(10), {', '.join(f"(SELECT {q(repeat)} || repeat('=', 60) || chr(10) || {q(title)} || chr(10) || repeat('=', 60) || chr(10) || string_agg(said, chr(10) ORDER BY rank) FROM z WHERE source_type = {q(kind)} HAVING count(*) > 0)" for kind, title, repeat in (('code', 'CODE ARTIFACTS', ''), ('document', 'DOCUMENTATION ARTIFACTS', chr(10)), ('log', 'LOG ARTIFACTS', chr(10))))}) AS context)
+      SELECT md5(context) AS context_md5, length(context) AS n_chars FROM w""",
+    "learned_term_stats": f"""WITH l AS (SELECT doc_id, {ascii_words('lower(text)', 'Z')} AS t FROM documents),
+      w AS (SELECT doc_id, [x] AS w FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{learned.UNIGRAM[4:]}', 1)) AS x FROM l) UNION ALL
+        SELECT doc_id, regexp_split_to_array(unnest(regexp_extract_all(t, '{learned.BIGRAM[4:]}')), '\\s+') FROM l),
+      tf AS (SELECT doc_id, array_to_string(w, ' ') AS term, count(*) AS tf FROM w
+        WHERE len(list_filter(w, lambda x: length(x) < 2 OR regexp_full_match(x, '[0-9]+') OR list_contains({listed(learned.STOPWORDS)}, x))) = 0 GROUP BY ALL),
+      n AS (SELECT count(*) AS n FROM documents)
+      SELECT term, CAST(sum(tf) AS BIGINT) AS frequency, count(*) AS doc_frequency, round((1 + ln(sum(tf))) * ln(any_value(n) / (1 + count(*))), 6) AS tfidf
+      FROM tf, n GROUP BY term HAVING sum(tf) >= 3 AND count(*) <= 0.8 * any_value(n)""",
+    "extracted_keywords": f"""WITH l AS (SELECT doc_id, {ascii_words("'NASA_X WireTransfer ' || text", '0')} AS t FROM documents),
+      k AS (SELECT doc_id, {' || '.join(f"regexp_extract_all(t, '{p}')" for p in T.KEYWORDS)} AS k FROM l),
+      d AS (SELECT doc_id, unnest(list_filter(k, lambda x, i: list_position(list_transform(k, lambda y: lower(y)), lower(x)) = i)) AS k FROM k)
+      SELECT k, count(DISTINCT doc_id) AS docs FROM d GROUP BY k""",
     "index_statistics": f"""{WITH_POSTINGS} SELECT 'total_chunks' AS metric, '' AS name, count(*) AS value FROM documents UNION ALL SELECT 'distinct_keys', kind, count(DISTINCT key) FROM p GROUP BY kind
       UNION ALL SELECT 'chunks_by_' || kind, key, count(*) FROM p WHERE kind IN ('source_type', 'capability') GROUP BY kind, key""",
     "ranked_concepts": f"{WITH_POSTINGS}, n AS (SELECT source_type, key, count(*) AS n FROM p WHERE kind = 'concept' GROUP BY ALL) SELECT source_type, key, n, row_number() OVER (PARTITION BY source_type ORDER BY n DESC, key) AS rank FROM n",

@@ -337,7 +337,7 @@ def llm_context_text(spark, sf):
 
 
 def llm_sanitized(spark, sf):
-    return documents(spark, sf).select("doc_id", F.md5(T.sanitize_for_llm(F.concat(F.lit("\x01a\x00\n\n\n\nb "), F.col("text")))).alias("clean_md5"))
+    return documents(spark, sf).select("doc_id", F.md5(T.sanitize_for_llm(F.concat(F.lit("\x01a\u00a0\n\n\n\nb\u2028"), F.col("text")))).alias("clean_md5"))
 
 
 def source_types(spark, sf):
