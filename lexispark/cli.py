@@ -1,8 +1,9 @@
-"""python -m lexispark.cli index|search|xref|capability|capabilities|stats|learn ..."""
+"""python -m lexispark.cli index|search|xref|capability|capabilities|stats|shell|learn ..."""
 
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
@@ -24,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--exclude", action="append")
     p.add_argument("--extension", action="append")
     p.add_argument("--type", choices=["code", "document", "log"])
-    for name in ("search", "xref", "capability", "capabilities", "stats"):
+    for name in ("search", "xref", "capability", "capabilities", "stats", "shell"):
         p = verbs.add_parser(name)
         p.add_argument("--index", required=True)
         if name in ("search", "xref", "capability"):
@@ -46,6 +47,45 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+HELP = ":code Q, :doc Q, :cap C, :caps, :analyze Q, :top N, :minscore X, :verbose, :stats, :help, :quit; anything else is a query"
+
+
+def shell(pipeline: Pipeline, lines) -> None:
+    """Commands and queries, one a line, until ``:quit`` or the end."""
+    top, least, verbose = 10, 0.0, False
+
+    def show(found) -> None:
+        columns = ["rank", "combined_score", "retrieval_method", "source_ref", "matched_concepts", *(["text"] if verbose else [])]
+        found.where(found.combined_score >= least).orderBy("rank").select(*columns).show(top, truncate=not verbose)
+
+    for line in lines:
+        verb, _, rest = line.strip().partition(" ")
+        if verb == ":quit":
+            return
+        elif verb == ":top":
+            top = int(rest)
+        elif verb == ":minscore":
+            least = float(rest)
+        elif verb == ":verbose":
+            verbose = not verbose
+        elif verb == ":code":
+            show(pipeline.related_code(rest, top))
+        elif verb == ":doc":
+            show(pipeline.documentation(rest, top))
+        elif verb == ":cap":
+            pipeline.by_capability(rest, top).show(top, truncate=False)
+        elif verb == ":caps":
+            pipeline.capability_counts().show(1000, truncate=False)
+        elif verb == ":stats":
+            pipeline.statistics().show(1000, truncate=False)
+        elif verb == ":analyze":
+            print(Assistant(create_model()).analyze(rest, pipeline.search(rest, top), least))
+        elif verb.startswith(":"):
+            print(HELP)
+        elif verb:
+            show(pipeline.search(line.strip(), top))
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(args)
     spark = spark or SparkSession.builder.appName("lexispark").getOrCreate()
@@ -71,6 +111,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         pipeline.search_cross_reference(a.query, a.from_type, a.to_type or ["document", "log"], a.top).show(100, truncate=False)
     elif a.verb == "capability":
         pipeline.by_capability(a.query, a.top).show(a.top, truncate=False)
+    elif a.verb == "shell":
+        shell(pipeline, sys.stdin)
     elif a.verb == "capabilities":
         pipeline.capability_counts().show(1000, truncate=False)
     else:

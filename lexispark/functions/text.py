@@ -179,6 +179,11 @@ def chunk_text(text: Column, size: int = 1000, overlap: int = 100) -> Column:
     """
     if not 0 <= overlap < size // 2:
         raise ValueError("overlap has to be less than half of size")
+    # a lambda's variable is computed once, whatever expression ``text`` is
+    return F.element_at(F.transform(F.array(text), lambda t: _chunks(t, size, overlap)), 1)
+
+
+def _chunks(text: Column, size: int, overlap: int) -> Column:
     n = F.length(text)
     half = size // 2
     steps = F.ceil(n / (half - overlap)).cast("int") + 2
