@@ -31,7 +31,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(values, np.uint8) if values is not None else np.zeros(0, np.uint8)), offs
 
 
-def blocks(offs: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks(offs: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of whole documents of about ``limit`` bytes each, so that temporaries stay in cache."""
     i, n = 0, len(offs) - 1
     while i < n:

@@ -229,7 +229,7 @@ class Tokenizer:
         """Ids of the documents ``data[offs[i]:offs[i + 1]]``, one after another, and offsets by document."""
         n = len(offs) - 1
         starts, hashes = [], []
-        for i, j in blocks(offs, 1 << 21):
+        for i, j in blocks(offs, 1 << 19):
             part = data[offs[i] : offs[j]]
             lead = np.flatnonzero((part & 0xC0) != 0x80)
             if not len(lead):
@@ -293,7 +293,7 @@ def _binary(values: np.ndarray, offs: np.ndarray) -> pa.Array:
 
 
 #: Bytes of input that one step of a Python worker takes, whole rows at a time: bounds its memory.
-STEP = 6 << 20
+STEP = 4 << 20
 
 
 def _mapped(df: DataFrame, source: str, added: str, fn) -> DataFrame:

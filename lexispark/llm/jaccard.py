@@ -109,8 +109,11 @@ def whole_groups(batches: Iterator[pa.RecordBatch], by: str, rows: int = 20_000)
         yield pa.Table.from_batches(kept)
 
 
-def alike(sketch: np.ndarray, group: np.ndarray, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions within each group (equal values stand together) whose sketches agree often enough."""
+def alike(sketch: np.ndarray, group: np.ndarray, small: int = 48, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions that connect what has sketches that agree often enough, within each group (equal values stand together).
+
+    Of a group of more than ``small`` the fewest pairs that connect the same; no more than about ``most`` are held at a time.
+    """
     n = len(group)
     edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
     sizes = np.diff(edges)
@@ -119,24 +122,32 @@ def alike(sketch: np.ndarray, group: np.ndarray, small: int = 48) -> tuple[np.nd
     out_i, out_j = [], []
     for d in range(1, min(small, int(sizes.max())) if n else 0):
         i = np.flatnonzero(little & (left > d))
-        for lo in range(0, len(i), 1 << 14):
-            some = i[lo : lo + (1 << 14)]
+        for lo in range(0, len(i), 1 << 12):
+            some = i[lo : lo + (1 << 12)]
             good = (sketch[some] == sketch[some + d]).sum(1) >= AGREE
             out_i.append(some[good])
             out_j.append(some[good] + d)
     for g in np.flatnonzero(sizes > small):
         lo, hi = int(edges[g]), int(edges[g + 1])
-        for k in range(lo, hi - 1):
-            good = np.flatnonzero((sketch[k + 1 : hi] == sketch[k]).sum(1) >= AGREE)
-            out_i.append(np.full(len(good), k))
-            out_j.append(good + k + 1)
+        own, root, held_i, held_j, held = sketch[lo:hi], np.arange(hi - lo), [], [], 0
+        for k in range(hi - lo - 1):
+            good = np.flatnonzero((own[k + 1 :] == own[k]).sum(1) >= AGREE) + k + 1
+            held_i.append(np.full(len(good), k))
+            held_j.append(good)
+            held += len(good)
+            if held >= most or k == hi - lo - 2:
+                root = local_roots(hi - lo, np.concatenate([np.arange(hi - lo), *held_i]), np.concatenate([root, *held_j]))
+                held_i, held_j, held = [], [], 0
+        some = np.flatnonzero(root != np.arange(hi - lo))
+        out_i.append(lo + root[some])
+        out_j.append(lo + some)
     empty = [np.zeros(0, np.int64)]
     return np.concatenate(out_i or empty), np.concatenate(out_j or empty)
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From sets in the order of their buckets to the fewest edges that connect what is alike in each."""
-    for part in whole_groups(batches, "bucket"):
+    for part in whole_groups(batches, "bucket", 8000):
         h = part.column("h").to_numpy()
         sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
         i, j = alike(sketch, part.column("bucket").to_numpy())
@@ -203,7 +214,7 @@ def verify(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> tuple
 
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in whole_groups(batches, "comp", 4000):
+        for part in whole_groups(batches, "comp", 1000):
             comp, h = part.column("comp").to_numpy(), part.column("h").to_numpy()
             once = np.concatenate([[True], (comp[1:] != comp[:-1]) | (h[1:] != h[:-1])])  # repeated rows gave a set more than once
             if not once.all():
