@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from lexispark.llm._spark import exact, load, without
+from lexispark.llm._spark import exact, load, released, without
 from lexispark.llm._text import U64, blocks, mix, powers, table, utf8
 
 NONE = np.int32(2**31 - 1)
@@ -310,7 +310,7 @@ def _mapped(df: DataFrame, source: str, added: str, fn) -> DataFrame:
                 columns = [*part.columns, fn(column.slice(lo, hi - lo))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(released(run), schema)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from lexispark.llm._spark import cut, exact, load, without
+from lexispark.llm._spark import cut, exact, load, released, without
 from lexispark.llm._text import ALNUM, U64, Words, blocks, folded, grams, mix, table, utf8, words
 
 #: A window of items and the words that a fingerprint covers: each window holds a fingerprint that is the
@@ -74,7 +74,7 @@ def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], ["item_id", "size", "window"])
 
     kind = benchmark.schema[item].dataType.simpleString()
-    return exact(benchmark, item, text).mapInArrow(run, f"item_id {kind}, size int, window string").distinct()
+    return exact(benchmark, item, text).mapInArrow(released(run), f"item_id {kind}, size int, window string").distinct()
 
 
 def _filter_of(windows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -98,7 +98,7 @@ def _filter_of(windows: DataFrame) -> tuple[np.ndarray, np.ndarray, list[int]]:
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([*packed, sorted(short)], (pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["marks", "bits", "short"])
 
     # 2 MB from each of at most 8 tasks
-    parts = windows.select("size", "window").coalesce(8).mapInArrow(run, "marks binary, bits binary, short array<long>").collect()
+    parts = windows.select("size", "window").coalesce(8).mapInArrow(released(run), "marks binary, bits binary, short array<long>").collect()
     marks, bits = np.zeros(FILTER_BITS // 8, np.uint8), np.zeros(FILTER_BITS // 8, np.uint8)
     for r in parts:
         marks |= np.frombuffer(bytes(r.marks), np.uint8)
@@ -175,7 +175,7 @@ def candidates(docs: DataFrame, windows: DataFrame, text: str = "text") -> DataF
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(released(run), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: int = 2) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm._graph import components, local_roots
-from lexispark.llm._spark import cut, exact, load, without
+from lexispark.llm._spark import cut, exact, load, released, without
 from lexispark.llm._text import SPACE, U64, Words, blocks, by_doc, grams, mix, powers, table, utf8, words
 
 WIDTH = 5
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, key: str, text: str, runs: int) -> DataFrame:
 
     kind = docs.schema[key].dataType.simpleString()
     picked = exact(docs, key, text).select(F.col(key), F.xxhash64(text).alias("same"), F.col(text))
-    return picked.mapInArrow(run, f"key {kind}, same long, h long, path array<long>, sketch binary")
+    return picked.mapInArrow(released(run), f"key {kind}, same long, h long, path array<long>, sketch binary")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], by: str, rows: int = 20_000) -> Iterator[pa.Table]:
@@ -169,7 +169,7 @@ def candidate_edges(classes: DataFrame, runs: int) -> DataFrame:
             rows = rows.withColumn("bucket", F.when(F.col("size") > LEAF, F.xxhash64("bucket", f"t{k + 1}")).otherwise(F.col("bucket"))).drop("size")
     rows = in_blocks(rows.select("h", "bucket", "size"), "bucket", "h", LEAF)
     rows = rows.join(classes.select("h", "sketch"), "h")
-    return rows.select("bucket", "h", "sketch").repartition("bucket").sortWithinPartitions("bucket", "h").mapInArrow(_bucket_edges, "a long, b long").distinct()
+    return rows.select("bucket", "h", "sketch").repartition("bucket").sortWithinPartitions("bucket", "h").mapInArrow(released(_bucket_edges), "a long, b long").distinct()
 
 
 def in_blocks(rows: DataFrame, group: str, member: str, most: int) -> DataFrame:
@@ -272,11 +272,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     need = classes.select("h", "n", "lead").join(comps.withColumnRenamed("node", "h"), "h").select("h", F.col("root").alias("comp"), "n", F.col("lead.key").alias("_k"), F.col("lead.same").alias("_s"))
     texts = exact(docs, key, text).select(F.col(key).alias("_key"), F.xxhash64(text).alias("_same"), F.col(text).alias("_text"))
     held = texts.join(need, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_same") == F.col("_s"))).select("h", "comp", "n", "_text")
-    sets = held.mapInArrow(_sets, "h long, comp long, n long, set binary")
+    sets = held.mapInArrow(released(_sets), "h long, comp long, n long, set binary")
     sizes = comps.groupBy(F.col("root").alias("comp")).agg(F.count("*").alias("size"))
     dealt = in_blocks(sets.join(sizes, "comp"), "comp", "h", BLOCK)
     dealt = dealt.select("comp", "h", "side", "n", "set").repartition("comp").sortWithinPartitions("comp", "h")
-    links = cut(dealt.mapInArrow(_verified(similarity), "h long, links long, root long"), "links")
+    links = cut(dealt.mapInArrow(released(_verified(similarity)), "h long, links long, root long"), "links")
     roots = components(links, "h", "root").withColumnRenamed("node", "h")
     per = classes.select("h", "n", "lead").join(links.groupBy("h").agg(F.sum("links").alias("links")), "h", "left").join(roots, "h", "left")
     per = per.withColumn("root", F.coalesce("root", "h"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from lexispark.llm._spark import exact, load, without
+from lexispark.llm._spark import exact, load, released, without
 from lexispark.llm._text import ALNUM, U64, blocks, folded, grams, mix, table, utf8, words
 
 WIDTH = 5
@@ -170,7 +170,7 @@ def scan(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] |
             lists = pa.array([[dict(zip(("license", "lo", "hi", "containment"), m, strict=True)) for m in f] for f in found], arrow.field("licenses").type)
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, lists], arrow, strict=True)], schema=arrow)
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(released(run), schema)
 
 
 # ---------------------------------------------------------------------------------------------- query

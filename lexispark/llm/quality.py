@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from lexispark.llm._spark import exact, load, without
+from lexispark.llm._spark import exact, load, released, without
 from lexispark.llm._text import SPACE, U64, Words, blocks, by_doc, code_points, grams, mix, table, utf8, words
 
 _VALUES = table(1)
@@ -160,7 +160,7 @@ def vote_counts(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.nda
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pattern", "n"])
 
-    found = exact(docs, text).mapInArrow(tally, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
+    found = exact(docs, text).mapInArrow(released(tally), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
     return decode_votes(found["pattern"].to_numpy(np.int64), len(RULES)), found["n"].to_numpy(np.int64)
 
 
@@ -189,7 +189,7 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFr
             columns = [*batch.columns, *[pa.array(np.ascontiguousarray(x)) for x in added]]
             yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(released(run), schema)
 
 
 # ---------------------------------------------------------------------------------------------- query

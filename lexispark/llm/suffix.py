@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexispark.llm._spark import cut, drop_cut, exact, load
+from lexispark.llm._spark import cut, drop_cut, exact, load, released
 from lexispark.llm._text import U64, blocks, mix, table, utf8
 
 #: Length of the strings that are sampled; a sample is kept in every stretch of the threshold's length.
@@ -135,7 +135,7 @@ def _marks(ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
     out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in ids.select("t1").coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+    for r in ids.select("t1").coalesce(4).mapInArrow(released(run), "bits binary").toLocalIterator():
         out |= np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     buckets = 2 * groups
     long_enough = base.where(F.octet_length("text") >= length).select("t1", "t2", "text")
 
-    samples = cut(long_enough.mapInArrow(_samples(length), "rank long, t1 long, t2 long, at long, w long"), "samples")
+    samples = cut(long_enough.mapInArrow(released(_samples(length)), "rank long, t1 long, t2 long, at long, w long"), "samples")
     # written, so that the join below reads two plain exchanges and adaptive execution can split a rank that is everywhere
     again = cut(samples.groupBy("rank").agg(F.sum("w").alias("n")).where("n > 1").select("rank"), "repeated-ranks")
     group_of = F.pmod(F.xxhash64(F.lit(2), "t1", "t2"), F.lit(groups)).alias("s")
@@ -283,7 +283,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     drop_cut(samples)
     drop_cut(again)
 
-    texts = long_enough.mapInArrow(_filtered(_marks(known)), "t1 long, t2 long, w long, text string").select(group_of, "t1", "t2", "w", "text")
+    texts = long_enough.mapInArrow(released(_filtered(_marks(known))), "t1 long, t2 long, w long, text string").select(group_of, "t1", "t2", "w", "text")
     packed = texts.groupBy("s").cogroup(known.groupBy("s")).applyInArrow(_compare(length, buckets), "s long, bucket long, ranks binary")
     bits = packed.groupBy("bucket").applyInArrow(_repeated, "s long, bucket long, bits binary")
     none = lambda kind: F.lit(None).cast(kind)
