@@ -25,8 +25,9 @@ PATTERNS = {
 }
 #: What a text has to contain for a pattern to match at all.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-#: A term is a run of letters; its context is so many characters on either side of a span.
-TERM, REACH = r"\p{L}{3,}", 80
+#: A term is a run of letters. MASK stands for a span, OUTSIDE is a term that no span has a part of.
+TERM, MASK = r"\p{L}{3,}", "\uffff"
+OUTSIDE = rf"(?<![\p{{L}}{MASK}])\p{{L}}{{3,}}+(?!{MASK})"
 SPAN = "struct<start:bigint,k:int,kind:string,end:bigint>"
 #: Terms that are broadcast at most; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
@@ -90,47 +91,57 @@ def _identity(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(key).isNull(), F.col(text))
 
 
-def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, _doc, _base, _near): spans of the patterns, and the terms and value next to each. Texts are read once and stay."""
+def spanned(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(_key, _text, _doc, _base): texts and the spans of the patterns."""
     df = exact(docs, key, text).select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    df = base_spans(df.withColumn("_doc", _identity("_key", "_text")))
-    whole = F.length("_text")
-
-    def near(s: Column) -> Column:
-        left = F.substring(F.col("_text"), F.greatest(F.lit(1), s["start"] + 1 - REACH).cast("int"), F.least(F.lit(REACH), s["start"]).cast("int"))
-        right = F.substring(F.col("_text"), (s["end"] + 1).cast("int"), F.lit(REACH))
-        left = F.when(s["start"] > REACH, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)  # not a word of which only a part is there
-        right = F.when(whole > s["end"] + REACH, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+    return base_spans(df.withColumn("_doc", _identity("_key", "_text")))
+
+
+def outside_terms(text: str, base: str) -> Column:
+    """Different terms of a whole text, without what lies in spans."""
+    masked = redacted(F.col(text), F.col(base), lambda s: F.lit(MASK))
+    return F.array_distinct(F.regexp_extract_all(F.lower(masked), F.lit(OUTSIDE), 0))
+
+
+def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, _doc, _copy, _base, _values, _said): spans of the patterns, the values they hold and, beside values, all terms of the text. Texts are read once and stay."""
+    df = spanned(docs, key, text)
+
+    def entity(s: Column) -> Column:
         value = F.when(s["kind"] == "email", F.lower(s["hit"])).otherwise(F.regexp_replace(s["hit"], "[^0-9.]", ""))
-        terms = F.array_distinct(F.concat(*[F.regexp_extract_all(F.lower(x), F.lit(TERM), 0) for x in (left, right)]))
-        return F.struct(F.concat_ws(":", s["kind"], value).alias("entity"), terms.alias("terms"))
+        return F.concat_ws(":", s["kind"], value)
 
     slim = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return df.select(F.col("_key").alias(key), "_doc", slim.alias("_base"), F.transform("_base", near).alias("_near"))
+    terms = F.when(F.size("_base") > 0, outside_terms("_text", "_base"))
+    return df.select(F.col("_key").alias(key), "_doc", F.xxhash64("_text").alias("_copy"), slim.alias("_base"), F.array_distinct(F.transform("_base", entity)).alias("_values"), terms.alias("_said"))
 
 
-def disclosing_terms(seen: DataFrame, docs: DataFrame, text: str, support: int, probability: float, bits: float) -> tuple[DataFrame, DataFrame] | None:
+def disclosing_terms(seen: DataFrame, docs: DataFrame, support: int, probability: float, bits: float) -> tuple[DataFrame, DataFrame] | None:
     """Terms that give an entity away (term, sure), and (_doc, term) for all documents that hold a candidate.
 
     An entity is a value that the patterns found. With n documents, a term in n(t) of them, an entity in n(e),
-    and n(t, e) where the term stands next to it: P(e | t) = n(t, e) / n(t) is ``probability`` or more, and
-    log2(P(e | t) / P(e)) is ``bits`` or more. ``support``: different contexts that the two share at least, so
+    and both in n(t, e), wherever in the document: P(e | t) = n(t, e) / n(t) is ``probability`` or more, and
+    log2(P(e | t) / P(e)) is ``bits`` or more. ``support``: different texts that hold both at least, so
     that copies of one text prove nothing. None where no term has that support.
     """
-    rows = seen.select("_doc", F.explode("_near").alias("x")).select("_doc", "x.entity", "x.terms", F.xxhash64("x.terms").alias("context"))
-    often = rows.groupBy("entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("_doc").alias("n_e")).where(F.col("contexts") >= support)
-    pairs = rows.join(often.select("entity"), "entity", "left_semi").select("entity", "_doc", "context", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("_doc").alias("n_te")).where(F.col("contexts") >= support)
-    # n(t) isn't less than the documents in which the term is next to any entity, so a term that fails on these fails
-    around = rows.select("_doc", F.explode("terms").alias("term")).groupBy("term").agg(F.countDistinct("_doc").alias("n_around"))
-    pairs = pairs.join(around, "term").where(F.col("n_te") >= probability * F.col("n_around")).drop("n_around")
-    pairs = cut(pairs.join(often.select("entity", "n_e"), "entity"), "term-pairs")
+    texts = seen.where(F.size("_values") > 0).groupBy("_copy").agg(F.countDistinct("_doc").alias("n"), F.first("_values").alias("values"), F.first("_said").alias("terms"))
+    texts = cut(texts, "pii-texts")
+    rows = texts.select("_copy", "n", F.explode("values").alias("entity"))
+    often = rows.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("n").alias("n_e")).where(F.col("texts") >= support).drop("texts")
+    # the values that stay come back to their text, so its terms move once, however many values it has
+    told = rows.join(often, "entity").groupBy("_copy").agg(F.collect_list(F.struct("entity", "n_e")).alias("told"))
+    pairs = texts.join(told, "_copy").select("n", "terms", F.explode("told").alias("e")).select("e.entity", "e.n_e", "n", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_te"), F.first("n_e").alias("n_e")).where(F.col("texts") >= support)
+    # n(t) isn't less than the documents with any entity that hold the term, so a term that fails on these fails
+    around = texts.select("n", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("n").alias("n_around"))
+    pairs = pairs.join(around, "term").where(F.col("n_te") >= probability * F.col("n_around")).drop("n_around", "texts")
+    pairs = cut(pairs, "term-pairs")
     terms = pairs.select("term").distinct()
     many = terms.count()
     if not many:
         return None
     # whether a text holds a term is a question to its distinct words; only the candidates' rows go on
-    held = docs.select(F.col("_doc"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), 0))).alias("term"))
+    held = docs.select("_doc", F.explode(outside_terms("_text", "_base")).alias("term"))
     held = cut(held.join(F.broadcast(terms) if many <= BROADCAST_TERMS else terms, "term", "left_semi"), "term-docs")
     n = docs.select("_doc").count()
     found = pairs.join(held.groupBy("term").agg(F.countDistinct("_doc").alias("n_t")), "term")
@@ -166,22 +177,22 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", support: in
     Null and empty texts have no spans; null and repeated keys are values like others; repeated rows have a
     row each and count once as documents; other columns are ignored; an empty table gives an empty table.
 
-    Texts don't move: slim rows of spans and contexts are written, statistics are aggregates of these, each
-    span giving at most as many pairs as its context has terms. Only texts that hold a disclosing term are
-    joined with it.
+    Texts don't move: spans are written and, for texts with values, their different terms. Statistics are
+    aggregates of these, a value that enough texts hold being paired with each term of its texts. Only texts
+    that hold a disclosing term are joined with it.
     """
     seen = cut(scan(docs, key, text), "pii-spans")
     base = exact(docs, key, text).select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     base = base.select(_identity("_key", "_text").alias("_doc"), "_text")
-    told = disclosing_terms(seen, base, "_text", support, probability, bits)
+    told = disclosing_terms(seen, spanned(docs, key, text), support, probability, bits)
     if told is None:
         return seen.select(key, "_doc", F.col("_base").alias("base"), F.col("_base").alias("spans"))
     extra = cut(term_spans(base, "_text", *told, remove), "term-spans")
     return seen.join(extra, "_doc", "left").select(key, "_doc", F.col("_base").alias("base"), _all_spans(F.col("_base"), F.col("_terms")).alias("spans"))
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with ``[EMAIL]`` and so on in place of spans, nothing in place of removed terms. Overlapping spans are one, named by the first."""
+def redacted(text: Column, spans: Column, label=None) -> Column:
+    """The text with ``[EMAIL]`` and so on in place of spans, nothing in place of removed terms, or what ``label`` makes of a span. Overlapping spans are one, named by the first."""
     whole = "array<struct<start:bigint,kind:string,end:bigint>>"
     one = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     last = lambda a: F.element_at(a, -1)
@@ -194,7 +205,7 @@ def redacted(text: Column, spans: Column) -> Column:
         ).otherwise(F.concat(a, F.array(one(s)))),
     )
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(apart, lambda s: s["end"]))
-    label = lambda s: F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    label = label or (lambda s: F.when(s["kind"] == "removed", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
     pieces = F.zip_with(apart, F.slice(ends, 1, F.size(apart)), lambda s, e: F.concat(F.substring(text, (e + 1).cast("int"), (s["start"] - e).cast("int")), label(s)))
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(pieces, ""), F.substring(text, (F.element_at(ends, -1) + 1).cast("int"), F.length(text))))
 

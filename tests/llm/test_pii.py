@@ -69,6 +69,31 @@ def test_disclosing_terms(spark, corpus):
     assert clean[7].text in (None, "") and clean[5].text == texts[5]
 
 
+def test_whole_documents(spark):
+    """A name far from the value, or near it in one of the texts only, discloses it; so does one beside a value whose neighbourhood is always the same."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(300)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    rows = [(i, say(60)) for i in range(400)]
+    rows += [(1000 + i, f"Xylophone {say(60)} ann@corp.org {say(20)}") for i in range(5)]
+    rows += [(2000 + i, f"Violoncello {say(60 * (i % 2))} +49 30 1234567{' ' + say(30)}") for i in range(6)]
+    rows += [(3000 + i, f"{say(40)} Clavichord {say(40)} {'always the same line ' * 5} 10.1.2.3 {'of every single letter ' * 5}") for i in range(4)]
+    rows += [(4000 + i, f"Trombone {say(60) if i < 2 else 'one'} bob@corp.org") for i in range(2)] + [(4100, rows[-1][1])] * 3
+    rows += [(5000 + i, f"Bassoon {say(50)}") for i in range(9)] + [(5100 + i, f"Bassoon {say(50)} eve@corp.org") for i in range(4)]  # P(e | t) = 4 / 13
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.detect(df).collect()
+    texts = dict(rows)
+    found = {texts[r.doc_id][s.start : s.end].lower() for r in got for s in r.spans if s.k == 4}
+    assert {"xylophone", "violoncello", "clavichord"} <= found
+    assert not found & ({"trombone", "bassoon"} | set(words))
+
+
+def test_outside_terms(spark):
+    df = spark.createDataFrame([(1, "Grüßann@x.de Ann Ann 1.2.3.4tail abc,def@x.yy"), (2, None), (3, "Éclair no")], "doc_id long, text string")
+    got = {r._doc: r.t for r in pii.spanned(df, "doc_id", "text").select(pii.F.col("_key").alias("_doc"), pii.outside_terms("_text", "_base").alias("t")).collect()}
+    assert got == {1: ["ann", "abc"], 2: [], 3: ["éclair"]}
+
+
 def test_redacted(spark):
     texts = ["é a@b.cc,1.2.3.4 +1 (269) 555-3296", "x@y.zz", "none", "a@1.2.3.4"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
