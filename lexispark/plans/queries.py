@@ -79,7 +79,7 @@ def concept_context(spark, sf):
 
 
 def keyword_lookup(spark, sf):
-    df = documents(spark, sf).select("doc_id", F.slice(T.tokenize(F.col("text")), 1, 100_000).alias("keywords"))
+    df = documents(spark, sf).select("doc_id", T.tokenize(F.col("text")).alias("keywords"))
     df = match_keywords(df, VOCABULARY)
     return df.select("doc_id", F.explode("keyword_matches").alias("m")).groupBy("doc_id", F.col("m.matched_term").alias("term"), F.col("m.canonical_term").alias("concept")).agg(F.count("*").alias("n"))
 
