@@ -43,12 +43,14 @@ def without(df: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> Data
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one made here where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset one is made, if all executors are in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found:
         current = context.getCheckpointDir()
         if current is None:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="lexispark-"))
             current = context.getCheckpointDir()
         return current
@@ -76,6 +78,21 @@ def drop_cut(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def per_key(rows: DataFrame, table: DataFrame, key: str, weight: str = "n", small: int = 100_000) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and in ``weight`` how many of ``rows`` there are, and which is written.
+
+    The keys of most rows are joined by a broadcast of at most ``small`` rows of ``table``, so no task gets more than
+    a share of 1 / ``small`` of all rows for one key; the others meet by a shuffle.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    most = max(1000, -(-int(total) // small))  # no more than ``small`` keys can have more rows than that
+    hot = table.where(F.col(weight) > most)
+    if not hot.head(1):
+        return rows.join(table, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(weight) <= most), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def released(run):
     """An Arrow function that gives memory back to the system when its partition ends: workers live on, idle, beside later stages."""
 

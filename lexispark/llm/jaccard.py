@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.llm._graph import components, local_roots
-from lexispark.llm._spark import cut, exact, load, released, without
+from lexispark.llm._spark import cut, drop_cut, exact, load, per_key, released, without
 from lexispark.llm._text import SPACE, U64, Words, blocks, by_doc, grams, mix, powers, table, utf8, words
 
 WIDTH = 5
@@ -162,11 +162,12 @@ def candidate_edges(classes: DataFrame, runs: int) -> DataFrame:
     step = lambda k: F.get("path", F.col("run") + runs * k)
     rows = classes.select("h", "path", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
     rows = rows.select("h", F.xxhash64("run", step(0)).alias("bucket"), *[step(k).alias(f"t{k}") for k in range(1, DEPTH)])
-    size = F.count("*").over(Window.partitionBy("bucket"))
     for k in range(DEPTH):  # a set alone in its bucket leaves this run; a large bucket is split by the next token
-        rows = rows.withColumn("size", size).where("size > 1")
+        sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
+        rows = per_key(rows, sizes, "bucket", "size")
         if k + 1 < DEPTH:
             rows = rows.withColumn("bucket", F.when(F.col("size") > LEAF, F.xxhash64("bucket", f"t{k + 1}")).otherwise(F.col("bucket"))).drop("size")
+            rows = cut(rows, "buckets")
     rows = in_blocks(rows.select("h", "bucket", "size"), "bucket", "h", LEAF)
     rows = rows.join(classes.select("h", "sketch"), "h")
     return rows.select("bucket", "h", "sketch").repartition("bucket").sortWithinPartitions("bucket", "h").mapInArrow(released(_bucket_edges), "a long, b long").distinct()
