@@ -8,15 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lexispark.llm._spark import exact, load, shared_dir, without
-
-#: Cells that rows are counted in before the number of buckets is known: bounds what the driver reads.
-CELLS = 1 << 20
+from lexispark.llm._spark import cut, exact, load, released, shared_dir, without
 
 
 def shuffle_and_shard(
@@ -28,72 +26,72 @@ def shuffle_and_shard(
     1; null texts count 1), text_crc32 (of the UTF-8 bytes; of none for null), shard, slot (place in the
     shard, gapless from 0). Input columns that clash with these, in any case, are replaced.
 
-    Pass 1 hashes (seed, key, text size, checksum) to one of ``CELLS`` cells and thereby to one of the
-    buckets, each of about ``bucket_bytes`` of text. Pass 2 brings each bucket's rows into a fixed order
-    and applies a seeded Fisher-Yates permutation. The order of all rows is buckets one after another, so
-    a prefix sum over bucket sizes gives each row its place, its shard and its slot, and a bucket writes
-    to the few shards that it overlaps.
-
-    A retried task sees the same rows in the same order, because the order within a bucket is fixed by
-    sorting first and all seeds are fixed; so a lost executor changes nothing. Rows equal in key, size and
-    checksum share a bucket; rows that are equal in all of these take either place. Null keys and null texts
-    are ordinary rows; an empty table gives an empty table.
+    Pass 1 scatters rows over buckets of about ``bucket_bytes`` of text by a hash of the seed and of a row's
+    place in the files that it is read from, so that equal rows spread like any others; what isn't read
+    from files is written to the shared folder first. Each bucket is a partition of its own. Pass 2 brings
+    a bucket's rows into the order of their places and applies a seeded Fisher-Yates permutation. The order
+    of all rows is buckets one after another, so a prefix sum over bucket sizes (the driver holds one number
+    for each bucket) gives each row its place, its shard and its slot, and a bucket writes to the few shards
+    that it overlaps.
+
+    A retried task sees the same rows in the same order, because places are those in written files and all
+    seeds are fixed; so a lost executor changes nothing. The method knows no groups: equal texts may go to
+    different shards. Null keys and null texts are ordinary rows; an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    added = ["size", "text_crc32", "shard", "slot", "_bucket"]
-    df = without(docs, added, keep=(key, text))
+    df = positioned(without(docs, ["size", "text_crc32", "shard", "slot", "_file", "_at", "_bucket"], keep=(key, text)))
     octets = F.coalesce(F.octet_length(text), F.lit(0))
     df = df.withColumns({"size": (octets + 1).cast("long"), "text_crc32": F.crc32(F.coalesce(F.encode(text, "UTF-8"), F.lit(b"")))})
-    cell = F.pmod(F.xxhash64(F.lit(seed), F.col(key), "size", "text_crc32"), F.lit(CELLS)).cast("int")
-    cells = df.select(cell.alias("cell"), "size").groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("b")).toPandas()  # at most CELLS rows
-    at, n, size = (cells[c].to_numpy(dtype=np.int64) for c in ("cell", "n", "b"))
-    buckets = min(CELLS, max(1, math.ceil(int(size.sum()) / bucket_bytes)))
+    buckets = max(1, math.ceil((df.agg(F.sum("size")).first()[0] or 0) / bucket_bytes))
+    bucket = F.pmod(F.xxhash64(F.lit(seed), "_file", "_at"), F.lit(buckets)).cast("int").alias("_bucket")
+    counts = df.select(bucket).groupBy("_bucket").agg(F.count("*").alias("n")).toPandas()  # a row for each bucket
     rows = np.zeros(buckets, np.int64)
-    np.add.at(rows, at % buckets, n)
+    rows[counts["_bucket"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
     starts, total = np.concatenate([[0], np.cumsum(rows)]), int(rows.sum())
     ends = [total * (i + 1) // shards for i in range(shards)]
     begins = np.array([0, *ends[:-1]], np.int64)
 
-    out = StructType([*df.schema.fields, StructField("shard", LongType()), StructField("slot", LongType())])
-    arrow, names = to_arrow_schema(out), list(df.columns)
-    order = [(c, "ascending") for c in (key, "size", "text_crc32")]
+    names = [c for c in df.columns if c not in ("_file", "_at")]
+    out = StructType([*df.select(*names).schema.fields, StructField("shard", LongType()), StructField("slot", LongType())])
+    arrow = to_arrow_schema(out)
+    order = [(c, "ascending") for c in ("_file", "_at", key, "size", "text_crc32")]
 
     def permute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, part in grouped(batches, "_bucket"):
-            part = part.select(names).take(pa.compute.sort_indices(part.select([c for c, _ in order]), sort_keys=order))
-            part = part.take(pa.array(np.random.default_rng([seed, bucket]).permutation(len(part))))
-            place = int(starts[bucket]) + np.arange(len(part))
-            shard = np.searchsorted(begins, place, side="right") - 1
-            for lo in range(0, len(part), 4096):  # the batches that leave are small even if a bucket isn't
-                some = slice(lo, lo + 4096)
-                columns = [*part.slice(lo, 4096).columns, pa.array(shard[some]), pa.array((place - begins[shard])[some])]
-                yield from pa.table([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow).to_batches()
-
-    dealt = df.withColumn("_bucket", F.pmod(cell, F.lit(buckets)).cast("long"))
-    dealt = dealt.repartition(buckets, "_bucket").sortWithinPartitions("_bucket")
-    done = dealt.mapInArrow(permute, out)
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        part = pa.Table.from_batches(held)
+        bucket = int(part.column("_bucket")[0].as_py())
+        if len(part) != rows[bucket]:
+            raise ValueError(f"bucket {bucket} has {len(part)} rows where {rows[bucket]} were counted: the input has changed")
+        at = pa.compute.sort_indices(part.select([c for c, _ in order]), sort_keys=order)
+        at = at.take(pa.array(np.random.default_rng([seed, bucket]).permutation(len(part))))
+        part = part.select(names)
+        place = int(starts[bucket]) + np.arange(len(part))
+        shard = np.searchsorted(begins, place, side="right") - 1
+        for lo in range(0, len(part), 1024):  # the batches that leave are small even if a bucket isn't
+            some = slice(lo, lo + 1024)
+            columns = [*part.take(at.slice(lo, 1024)).columns, pa.array(shard[some]), pa.array((place - begins[shard])[some])]
+            yield from pa.table([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow).to_batches()
+
+    done = df.select("*", bucket).repartitionById(buckets, "_bucket").mapInArrow(released(permute), out)
     done.write.partitionBy("shard").parquet(path)
     columns = [f.name for f in out.fields]
     return spark.read.schema(out).parquet(path).select(*columns)
 
 
-def grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, pa.Table]]:
-    """Tables of rows with equal ``by``, from batches in the order of ``by``."""
-    kept: list[pa.RecordBatch] = []
-    now = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column(batch.schema.get_field_index(by)).to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            if kept and keys[lo] != now:
-                yield int(now), pa.Table.from_batches(kept)
-                kept = []
-            now = keys[lo]
-            kept.append(batch.slice(lo, hi - lo))
-    if kept:
-        yield int(now), pa.Table.from_batches(kept)
+def positioned(df: DataFrame) -> DataFrame:
+    """``df`` with the place of each row in the files it is read from: _file (without the part of the name that no seed fixes) and _at."""
+
+    def places(df: DataFrame) -> DataFrame:
+        meta = df.metadataColumn("_metadata")
+        name = F.regexp_replace(meta.getField("file_name"), "-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", "")
+        return df.select("*", name.alias("_file"), meta.getField("row_index").alias("_at"))
+
+    try:
+        return places(df)
+    except AnalysisException:  # not read from files that number their rows
+        return places(cut(df, "shard-input"))
 
 
 # ---------------------------------------------------------------------------------------------- query
