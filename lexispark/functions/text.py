@@ -20,8 +20,11 @@ TOKEN = "[a-z][a-z0-9_]*"
 BLANKS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+_BLANK_CHARACTERS = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, f"^{BLANKS}+", ""), f"{BLANKS}+$", "")
+    return F.btrim(text, F.lit(_BLANK_CHARACTERS))
 
 
 def tokenize(text: Column) -> Column:
@@ -57,7 +60,9 @@ def stem(word: Column) -> Column:
 def _hex_mod(digest: Column, n: int) -> Column:
     """A hexadecimal number of 32 digits modulo n: the last digits where n is a power of two, else by limbs of 28 bits."""
     if n & (n - 1) == 0 and n <= 1 << 28:
-        return F.conv(F.right(digest, F.lit(7)), 16, 10).cast("long") % n
+        digits = max(1, -(-(n.bit_length() - 1) // 4))
+        value = sum(((F.instr(F.lit("0123456789abcdef"), F.substring(digest, 32 - k, 1)) - 1).cast("long") * 16**k for k in range(digits)), F.lit(0).cast("long"))
+        return value % n
     out = F.lit(0).cast("long")
     for at, size in ((1, 4), (5, 7), (12, 7), (19, 7), (26, 7)):
         out = (out * (16**size % n) + F.conv(F.substring(digest, at, size), 16, 10).cast("long") % n) % n
@@ -68,8 +73,8 @@ def hash_term(term: Column, n_features: int) -> tuple[Column, Column]:
     """Index (MD5 modulo n_features) and sign (parity of SHA-1) of a term."""
     if not 0 < n_features < 1 << 31:
         raise ValueError("n_features is out of range")
-    odd = F.conv(F.right(F.sha1(term), F.lit(1)), 16, 10).cast("int") % 2
-    return _hex_mod(F.md5(term), n_features), F.when(odd == 0, 1).otherwise(-1)
+    even = F.instr(F.lit("02468ace"), F.right(F.sha1(term), F.lit(1))) > 0
+    return _hex_mod(F.md5(term), n_features), F.when(even, 1).otherwise(-1)
 
 
 def is_heading(text: Column) -> Column:
@@ -145,16 +150,24 @@ def embedding_text(text: Column, semantic_type: Column, matches: Column, procedu
 
 #: What looks like a keyword: CamelCase, snake_case, UPPER_CASE, acronyms, hyphenated words.
 KEYWORDS = [r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b", r"\b[a-z]+(?:_[a-z]+)+\b", r"\b[A-Z]+(?:_[A-Z]+)+\b", r"\b[A-Z]{2,}\b", r"\b[a-z]+(?:-[a-z]+)+\b"]
+#: The same matches without going back, which Java does by recursion: an identifier of any length is one loop.
+_LINEAR = [r"\b[A-Z][a-z]++(?:[A-Z][a-z]++)++\b", r"\b[a-z]++(?:_[a-z]++)++\b", r"\b[A-Z]++(?:_[A-Z]++)++\b", r"\b[A-Z]{2,}+\b", r"\b[a-z]++(?:-[a-z]++\b)++"]
 
 
 def distinct_ignoring_case(x: Column) -> Column:
-    """The first of each element without regard to case, in order."""
-    low = F.transform(x, lambda v: F.lower(v))
-    return F.filter(x, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+    """The first of each element without regard to case, in order: two sorts, whatever their number."""
+
+    def firsts(s: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), lambda e: e["low"]))
+        marked = F.zip_with(s, F.when(F.size(s) > 0, before).otherwise(F.array().cast("array<string>")), lambda e, b: F.struct(e["i"].alias("i"), e["v"].alias("v"), (b.isNull() | (b != e["low"])).alias("first")))
+        return F.transform(F.array_sort(F.filter(marked, lambda e: e["first"])), lambda e: e["v"])
+
+    keyed = F.array_sort(F.transform(x, lambda v, i: F.struct(F.lower(v).alias("low"), i.alias("i"), v.alias("v"))))
+    return F.element_at(F.transform(F.array(keyed), firsts), 1)
 
 
 def extract_keywords(text: Column) -> Column:
-    return distinct_ignoring_case(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?U){p}"), 0) for p in KEYWORDS]))
+    return distinct_ignoring_case(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?U){p}"), 0) for p in _LINEAR]))
 
 
 def extract_tal_keywords(code: Column) -> Column:
@@ -216,7 +229,9 @@ def _chunks(text: Column, size: int, overlap: int) -> Column:
 
 def strip_tags(html: Column) -> Column:
     """Text of HTML without a parser: tags become blanks, runs of white space one blank."""
-    return strip(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), rf"{BLANKS}+", " "))
+    tail = F.substring_index(html, ">", -1)  # no tag ends in it, and each "<" would look for one
+    head = F.left(html, F.length(html) - F.length(tail))
+    return strip(F.regexp_replace(F.concat(F.regexp_replace(head, "<[^>]+>", " "), tail), rf"{BLANKS}+", " "))
 
 
 def sanitize_for_llm(text: Column) -> Column:

@@ -26,9 +26,18 @@ def _boost(term: Column, vocabulary: Vocabulary | None, boost: float, underscore
     return F.when(hit, boost).otherwise(1.0)
 
 
-def term_counts(df: DataFrame, tokens: Column, id: str) -> DataFrame:
-    """(id, term, tf)"""
-    return df.select(id, F.explode(tokens).alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf"))
+def occurrences(df: DataFrame, tokens: Column, id: str, pairs: bool = False) -> DataFrame:
+    """(id, term): a row for each token and, with ``pairs``, for each two in a row; pairs are made outside of lambdas, in generated code."""
+    if not pairs:
+        return df.select(id, F.explode(tokens).alias("term"))
+    df = df.select(id, tokens.alias("_t"))
+    df = df.select(id, F.inline(F.arrays_zip(F.col("_t").alias("a"), F.slice("_t", 2, F.greatest(F.size("_t") - 1, F.lit(0))).alias("b"))))
+    return df.select(id, F.explode(F.array("a", F.concat("a", F.lit("_"), "b"))).alias("term")).where("term IS NOT NULL")
+
+
+def term_counts(rows: DataFrame, id: str) -> DataFrame:
+    """(id, term, tf) of (id, term)."""
+    return rows.groupBy(id, "term").agg(F.count("*").alias("tf"))
 
 
 def term_totals(rows: DataFrame, tokens: str) -> DataFrame:
@@ -53,6 +62,21 @@ def dense(weights: DataFrame, id: str, n: int, name: str = "embedding") -> DataF
     return held.select(id, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.col("m")[i.cast("long")], F.lit(0.0))).alias(name))
 
 
+def numbered(df: DataFrame, by: list[str], block: Column, group: list[str] | None = None, name: str = "idx") -> DataFrame:
+    """``df`` with the place of each row in the order of ``by`` within its ``group``, from 0.
+
+    ``block`` is a value of each row that grows with ``by``; rows are numbered in each block, after the sizes of the blocks
+    before, so no task has more than the rows of a block, or one row for each block of a group.
+    """
+    group = group or []
+    rows = df.withColumn("_block", block)
+    sizes = rows.groupBy(*group, "_block").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*group, "_block", before.alias("_before"))
+    own = rows.withColumn("_own", F.row_number().over(Window.partitionBy(*group, "_block").orderBy(*by)))
+    return own.join(starts, [*group, "_block"]).select(*df.columns, (F.col("_before") + F.col("_own") - 1).cast("long").alias(name))
+
+
 @dataclass
 class HashEmbedder:
     """Signed feature hashing of words and pairs of words; nothing to fit."""
@@ -70,9 +94,7 @@ class HashEmbedder:
         return self.n_features
 
     def sparse(self, df: DataFrame, id: str = "chunk_id", text: str = "text") -> DataFrame:
-        tokens = T.remove_stopwords(T.tokenize(F.col(text)))
-        df = df.select(id, tokens.alias("_t"))
-        counts = term_counts(df, T.with_bigrams(F.col("_t")) if self.use_bigrams else F.col("_t"), id)
+        counts = term_counts(occurrences(df, T.remove_stopwords(T.tokenize(F.col(text))), id, self.use_bigrams), id)
         idx, sign = T.hash_term(F.col("term"), self.n_features)
         weight = sign * (1 + F.log("tf")) * _boost(F.col("term"), self.vocabulary, self.domain_boost, underscores=True)
         sums = counts.select(id, idx.alias("idx"), weight.alias("w")).groupBy(id, "idx").agg(F.sum("w").alias("weight"))
@@ -96,31 +118,36 @@ class TFIDFEmbedder:
     use_stemming: bool = True
     terms: DataFrame | None = field(default=None, repr=False)
 
-    def tokens(self, text: Column) -> Column:
-        out = T.tokenize(text)
-        if self.use_bigrams:
-            out = T.with_bigrams(out)
+    def counts(self, df: DataFrame, id: str, text: str) -> DataFrame:
+        """(id, term, tf): stop words and stems are looked at row by row, in generated code."""
+        rows = occurrences(df, T.tokenize(F.col(text)), id, self.use_bigrams)
         if self.remove_stopwords:
-            out = T.remove_stopwords(out)
-        return F.transform(out, T.stem) if self.use_stemming else out
-
-    def fit(self, df: DataFrame, text: str = "text") -> TFIDFEmbedder:
-        """Terms by total frequency, equal ones by name; (idx, term, df, idf)."""
-        rows = df.select(self.tokens(F.col(text)).alias("_t"))
-        n = rows.count()
-        stats = term_totals(rows, "_t").select("term", F.col("frequency").alias("freq"), F.col("doc_frequency").alias("df")).where(F.col("df") >= self.min_df)
+            rows = rows.where(~F.col("term").isin(T.STOPWORDS))
+        if self.use_stemming:
+            rows = rows.select(id, T.stem(F.col("term")).alias("term"))
+        return term_counts(rows, id)
+
+    def fit(self, df: DataFrame, text: str = "text", id: str | None = None) -> TFIDFEmbedder:
+        """Terms by total frequency, equal ones by name; (idx, term, df, idf).
+
+        With ``id`` the counts are those that :meth:`sparse` makes of the same table, so a plan with both shuffles them once.
+        """
+        if id is None:
+            id, df = "_row", df.select(F.monotonically_increasing_id().alias("_row"), text)
+        n = df.select(F.count("*").alias("n"))
+        stats = self.counts(df, id, text).groupBy("term").agg(F.sum("tf").alias("freq"), F.count("*").alias("df")).where(F.col("df") >= self.min_df)
         top = stats.orderBy(F.desc("freq"), "term").limit(self.max_features)  # the window below orders these few only
-        idf = F.log(F.lit(float(n + 1)) / (F.col("df") + 1)) + 1 if self.use_idf else F.lit(1.0)
+        idf = F.log((n.scalar().cast("double") + 1) / (F.col("df") + 1)) + 1 if self.use_idf else F.lit(1.0)
         self.terms = top.select((F.row_number().over(Window.orderBy(F.desc("freq"), "term")) - 1).cast("long").alias("idx"), "term", "df", idf.alias("idf"))
         return self
 
     def sparse(self, df: DataFrame, id: str = "chunk_id", text: str = "text") -> DataFrame:
         if self.terms is None:
             raise ValueError("fit first")
-        counts = term_counts(df, self.tokens(F.col(text)), id)
         tf = 1 + F.log("tf") if self.sublinear_tf else F.col("tf")
         weight = tf * F.col("idf") * _boost(F.col("term"), self.vocabulary, self.domain_boost)
-        out = counts.join(self.terms, "term").select(id, "idx", weight.cast("double").alias("weight"))
+        terms = F.broadcast(self.terms) if self.max_features <= 200_000 else self.terms
+        out = self.counts(df, id, text).join(terms, "term").select(id, "idx", weight.cast("double").alias("weight"))
         return normalized(out, id) if self.normalize else out
 
     @property
@@ -143,21 +170,27 @@ class BM25Embedder:
     def tokens(self, text: Column) -> Column:
         return T.remove_stopwords(T.tokenize(text))
 
-    def fit(self, df: DataFrame, text: str = "text") -> BM25Embedder:
-        rows = df.select(self.tokens(F.col(text)).alias("_t"))
-        n, total = rows.agg(F.count("*"), F.sum(F.size("_t"))).first()
+    def fit(self, df: DataFrame, text: str = "text", id: str | None = None) -> BM25Embedder:
+        """With ``id`` the counts are those that :meth:`sparse` makes of the same table, so a plan with both shuffles them once."""
+        if id is None:
+            id, df = "_row", df.select(F.monotonically_increasing_id().alias("_row"), text)
+        n, total = df.select(self.tokens(F.col(text)).alias("_t")).agg(F.count("*"), F.sum(F.size("_t"))).first()
         self.average = (total or 0) / n if n else 1.0
-        stats = rows.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        stats = self.counts(df, id, text).groupBy("term").agg(F.count("*").alias("df"))
         idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         self.terms = stats.select("term", "df", idf.alias("idf"))
         return self
 
+    def counts(self, df: DataFrame, id: str, text: str) -> DataFrame:
+        """(id, term, tf, n): n is the number of tokens of the text."""
+        df = df.select(id, self.tokens(F.col(text)).alias("_t"))
+        return df.select(id, F.size("_t").alias("_n"), F.explode("_t").alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf"), F.first("_n").alias("n"))
+
     def sparse(self, df: DataFrame, id: str = "chunk_id", text: str = "text") -> DataFrame:
         """(id, term, weight): dimensions are the terms themselves."""
         if self.terms is None:
             raise ValueError("fit first")
-        df = df.select(id, self.tokens(F.col(text)).alias("_t"))
-        counts = df.select(id, F.size("_t").alias("_n"), F.explode("_t").alias("term")).groupBy(id, "term").agg(F.count("*").alias("tf"), F.first("_n").alias("n"))
+        counts = self.counts(df, id, text)
         part = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("n") / (self.average or 1.0)))
         weight = F.col("idf") * part * _boost(F.col("term"), self.vocabulary, self.domain_boost)
         return normalized(counts.join(self.terms, "term").select(id, "term", weight.alias("weight")), id)
@@ -167,7 +200,7 @@ class BM25Embedder:
         return self.terms.count()
 
     def transform(self, df: DataFrame, id: str = "chunk_id", text: str = "text") -> DataFrame:
-        index = self.terms.select("term", (F.row_number().over(Window.orderBy("term")) - 1).cast("long").alias("idx"))
+        index = numbered(self.terms.select("term"), ["term"], F.left(F.col("term"), F.lit(3)))
         return dense(self.sparse(df, id, text).join(index, "term"), id, self.n_dimensions)
 
 

@@ -58,7 +58,7 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, id: str = "chunk
     size = sum(float(x) * float(x) for x in query) ** 0.5
     df = vectors if where is None else vectors.where(where)
     score = T.dot(F.col(embedding), q) / (T.norm(F.col(embedding)) * size + 1e-8)
-    return df.where(F.col(embedding).isNotNull()).select(id, score.alias("score")).orderBy(F.desc("score"), id).limit(k)
+    return df.where(F.col(embedding).isNotNull()).select(id, score.alias("score")).orderBy(F.desc(F.round("score", 9)), id).limit(k)
 
 
 def save(chunks: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,28 +69,55 @@ def term_statistics(df: DataFrame, config: Config, text: str = "text", all_terms
     stats = term_totals(rows, "t")
     stats = stats.where((F.col("frequency") >= config.min_term_frequency) & (F.col("doc_frequency") <= n * config.max_term_frequency_pct))
     stats = stats.withColumn("tfidf", (1 + F.log("frequency")) * F.log(F.lit(float(n)) / (1 + F.col("doc_frequency"))))
-    return stats if all_terms else stats.orderBy(F.desc("tfidf"), "term").limit(config.max_terms)
+    return stats if all_terms else stats.orderBy(F.desc(F.round("tfidf", 9)), "term").limit(config.max_terms)
+
+
+def occurrences(terms: list[str]):
+    """A function from a text to (begin, index of the term) of all occurrences of ``terms``: one pass by an automaton, or a search for each."""
+    try:
+        import ahocorasick
+    except ImportError:
+        pattern = [re.compile(f"(?={re.escape(t)})") for t in terms]
+        return lambda text: [(m.start(), i) for i, p in enumerate(pattern) for m in p.finditer(text)]
+    found = ahocorasick.Automaton()
+    for i, t in enumerate(terms):
+        found.add_word(t, (i, len(t)))
+    found.make_automaton()
+    return lambda text: [(end - n + 1, i) for end, (i, n) in found.iter(text)] if terms else []
 
 
 def _window_pairs(terms: list[str], window: int):
     """Counts of pairs of terms that begin within ``window`` characters, summed over a batch of texts before they leave it."""
-    place = {t: i for i, t in enumerate(terms)}
+    size = np.array([len(t) for t in terms])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pattern = {t: re.compile(re.escape(t)) for t in terms}
+        finder = occurrences(terms)
         for batch in batches:
-            total: dict[tuple[int, int], int] = {}
+            counts: list[np.ndarray] = []
             for text in batch["text"]:
-                low = (text or "").lower()
-                at = np.array(sorted((m.start(), place[t]) for t, p in pattern.items() if t in low for m in p.finditer(low)), np.int64).reshape(-1, 2)
+                at = np.array(finder((text or "").lower()), np.int64).reshape(-1, 2)  # in the order of their ends
+                # of one term's occurrences those that overlap an earlier one don't count
+                own = at[np.lexsort((at[:, 0], at[:, 1]))]
+                lap = np.flatnonzero((own[1:, 1] == own[:-1, 1]) & (own[1:, 0] - own[:-1, 0] < size[own[1:, 1]]))
+                if len(lap):
+                    keep, end, last = np.ones(len(own), np.bool_), -1, -1
+                    for k, (p, t) in enumerate(own.tolist()):
+                        keep[k] = t != last or p >= end
+                        if keep[k]:
+                            last, end = t, p + size[t]
+                    own = own[keep]
+                at = own[np.lexsort((own[:, 1], own[:, 0]))]
                 n = len(at)
                 upto = np.searchsorted(at[:, 0], at[:, 0] + window, side="right") if n else np.zeros(0, np.int64)
                 for d in range(1, int((upto - np.arange(n)).max()) if n else 0):
                     i = np.flatnonzero(np.arange(n) + d < upto)
                     a, b = at[i, 1], at[i + d, 1]
-                    for x, y in zip(np.minimum(a, b)[a != b].tolist(), np.maximum(a, b)[a != b].tolist(), strict=True):
-                        total[x, y] = total.get((x, y), 0) + 1
-            yield pd.DataFrame([(terms[x], terms[y], c) for (x, y), c in total.items()], columns=["a", "b", "n"])
+                    pair, c = np.unique((np.minimum(a, b) * len(terms) + np.maximum(a, b))[a != b], return_counts=True)
+                    counts.append(np.stack([pair, c], axis=1))
+            total = np.concatenate(counts or [np.zeros((0, 2), np.int64)])
+            pair, which = np.unique(total[:, 0], return_inverse=True)
+            n = np.bincount(which, total[:, 1], len(pair)).astype(np.int64)
+            yield pd.DataFrame({"a": [terms[x // len(terms)] for x in pair.tolist()], "b": [terms[x % len(terms)] for x in pair.tolist()], "n": n})
 
     return run
 
@@ -128,19 +156,30 @@ def similarity_matrix(terms: list[str], scored: DataFrame) -> np.ndarray:
 
 def cluster_hierarchical(similarity: np.ndarray, n: int) -> list[list[int]]:
     """Average linkage down to n clusters, the first of equally close pairs is merged. Sums of distances are updated, not computed anew."""
+    m = len(similarity)
     sums = 1 - similarity
     np.fill_diagonal(sums, 0)
-    clusters = [[i] for i in range(len(sums))]
-    while len(clusters) > max(n, 1):
-        size = np.array([len(c) for c in clusters], float)
-        mean = sums / np.outer(size, size)
-        mean[np.tril_indices(len(mean))] = np.inf
-        i, j = divmod(int(np.argmin(mean.round(12))), len(mean))
+    size, clusters = np.ones(m), [[i] for i in range(m)]
+    mean = np.where(np.triu(np.ones((m, m), np.bool_), 1), sums, np.inf).round(12)
+    low, at = (mean.min(1), mean.argmin(1)) if m else (np.zeros(0), np.zeros(0, np.int64))  # the closest later cluster of each
+    for _ in range(m - max(n, 1)):
+        i = int(np.argmin(low))
+        j = int(at[i])
         sums[i] += sums[j]
         sums[:, i] += sums[:, j]
-        sums = np.delete(np.delete(sums, j, 0), j, 1)
-        clusters[i] += clusters.pop(j)
-    return clusters
+        size[i] += size[j]
+        clusters[i] += clusters[j]
+        clusters[j] = []
+        fresh = (sums[i] / (size[i] * size)).round(12)
+        fresh[[not c for c in clusters]] = np.inf
+        mean[j], mean[:, j] = np.inf, np.inf
+        mean[i, i + 1 :], mean[:i, i] = fresh[i + 1 :], fresh[:i]
+        again = np.flatnonzero((at == i) | (at == j))
+        again = np.append(again, [i, j])
+        low[again], at[again] = mean[again].min(1), mean[again].argmin(1)
+        nearer = (mean[:, i] < low) | ((mean[:, i] == low) & (i < at))
+        low[nearer], at[nearer] = mean[nearer, i], i
+    return [c for c in clusters if c]
 
 
 def cluster_kmeans(similarity: np.ndarray, n: int) -> list[list[int]]:
@@ -166,7 +205,7 @@ class LearnedEmbedder:
     def fit(self, df: DataFrame, text: str = "text") -> LearnedEmbedder:
         config, rows = self.config, df.select(F.col(text).alias("text"))
         stats = term_statistics(rows, config)
-        held = stats.orderBy(F.desc("tfidf"), "term").collect()  # max_terms rows
+        held = stats.orderBy(F.desc(F.round("tfidf", 9)), "term").collect()  # max_terms rows
         terms = [r.term for r in held]
         if len(terms) < 2:
             self.dimensions = []
@@ -177,9 +216,9 @@ class LearnedEmbedder:
         n = max(1, min(wanted, len(terms) // 2))
         clusters = (cluster_hierarchical if config.clustering == "hierarchical" else cluster_kmeans)(sim, n)
         of = {terms[i]: k for k, c in enumerate(clusters) for i in c}
-        lookup = F.map_from_arrays(F.array(*map(F.lit, of)), F.array(*[F.lit(k) for k in of.values()]))
-        hit = F.array_distinct(F.filter(F.transform(document_terms(F.col("text"), config), lambda t: lookup[t]), lambda k: k.isNotNull()))
-        df_of = {r.k: r.n for r in rows.select(F.explode(hit).alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()}
+        listed = rows.sparkSession.createDataFrame(list(of.items()), "t string, k long")  # max_terms rows
+        held_terms = rows.select(F.monotonically_increasing_id().alias("d"), F.explode(document_terms(F.col("text"), config)).alias("t"))
+        df_of = {r.k: r.n for r in held_terms.join(F.broadcast(listed), "t").groupBy("k").agg(F.countDistinct("d").alias("n")).collect()}
         tfidf, out = {r.term: r.tfidf for r in held}, []
         for k, c in enumerate(clusters):
             top = max(tfidf[terms[i]] for i in c)
@@ -207,12 +246,20 @@ class LearnedEmbedder:
 
     def activations(self, df: DataFrame, id: str = "chunk_id", text: str = "text") -> DataFrame:
         """(id, idx, term, weight) of all terms that a text contains, anywhere."""
-        terms = [(t, d["id"], w) for d in self.dimensions for t, w in d["term_weights"].items()]
-        if not terms:
-            return df.select(id, F.lit(0).cast("long").alias("idx"), F.lit("").alias("term"), F.lit(0.0).alias("weight")).limit(0)
-        listed = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(i).cast("long").alias("idx"), F.lit(float(w)).alias("weight")) for t, i, w in terms])
-        df = df.select(id, F.lower(text).alias("_low"), listed.alias("_terms"))
-        return df.select(id, F.explode(F.filter("_terms", lambda t: F.contains(F.col("_low"), t["term"]))).alias("x")).select(id, "x.*")
+        terms = [(t, d["id"], float(w)) for d in self.dimensions for t, w in d["term_weights"].items()]
+        kind = df.select(id).schema[0].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = occurrences([t for t, *_ in terms])
+            for batch in batches:
+                held = [sorted({i for _, i in finder(low)}) for low in batch.column(1).to_pylist()]
+                flat = [i for h in held for i in h]
+                own = pa.array(np.repeat(np.arange(len(held)), [len(h) for h in held]))
+                values = [pa.array([terms[i][k] for i in flat], t) for k, t in ((1, pa.int64()), (0, pa.string()), (2, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), *values], ["key", "idx", "term", "weight"])
+
+        out = df.select(F.col(id).alias("key"), F.coalesce(F.lower(text), F.lit("")).alias("low")).mapInArrow(run, f"key {kind}, idx long, term string, weight double")
+        return out.withColumnRenamed("key", id)
 
     def sparse(self, df: DataFrame, id: str = "chunk_id", text: str = "text") -> DataFrame:
         return normalized(self.activations(df, id, text).groupBy(id, "idx").agg(F.max("weight").alias("weight")), id)

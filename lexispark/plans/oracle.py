@@ -139,10 +139,23 @@ SECTIONS = f"""par AS (SELECT doc_id, n, {strip('p')} AS p FROM (SELECT doc_id,
   long AS (SELECT doc_id || '/' || k AS key, text FROM sec WHERE length(text) > 1500)"""
 CHUNKED = chunked("(SELECT doc_id AS key, text FROM documents)", 1200, 100)
 
+def term_stats(digits: int) -> str:
+    """Terms of one, two and three words with their statistics."""
+    n_gram = lambda p: f"SELECT doc_id, regexp_split_to_array(unnest(regexp_extract_all(t, '{p[4:]}')), '\\s+') FROM l"
+    return f"""l AS (SELECT doc_id, {ascii_words('lower(text)', 'Z')} AS t FROM documents),
+      w AS (SELECT doc_id, [x] AS w FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{learned.UNIGRAM[4:]}', 1)) AS x FROM l) UNION ALL {n_gram(learned.BIGRAM)} UNION ALL {n_gram(learned.TRIGRAM)}),
+      tf AS (SELECT doc_id, array_to_string(w, ' ') AS term, count(*) AS tf FROM w
+        WHERE len(list_filter(w, lambda x: length(x) < 2 OR regexp_full_match(x, '[0-9]+') OR list_contains({listed(learned.STOPWORDS)}, x))) = 0 GROUP BY ALL),
+      n AS (SELECT count(*) AS n FROM documents),
+      stats AS MATERIALIZED (SELECT term, CAST(sum(tf) AS BIGINT) AS frequency, count(*) AS doc_frequency, round((1 + ln(sum(tf))) * ln(any_value(n) / (1 + count(*))), {digits}) AS tfidf
+      FROM tf, n GROUP BY term HAVING sum(tf) >= 3 AND count(*) <= 0.8 * any_value(n)),
+      top AS MATERIALIZED (SELECT term, frequency FROM stats ORDER BY tfidf DESC, term LIMIT 1000)"""
+
+
 #: Where each term begins: splits leave the pieces between, whose lengths add up.
-PLACES = f"""o AS MATERIALIZED (SELECT doc_id, term, sum(length(piece) + length(term)) OVER (PARTITION BY doc_id, term ORDER BY n) - length(term) AS pos FROM (
-  SELECT doc_id, term, unnest(string_split(lower(text), term)) AS piece, unnest(range(len(string_split(lower(text), term)))) AS n, len(string_split(lower(text), term)) AS k
-  FROM documents, {values([(q(x),) for x in Q._PAIR_TERMS], 'term')}) WHERE n < k - 1)"""
+PLACES = f"""{term_stats(9)}, held AS MATERIALIZED (SELECT doc_id, term, string_split(lower(text), term) AS pieces FROM documents, top WHERE contains(lower(text), term)),
+  o AS MATERIALIZED (SELECT doc_id, term, sum(length(piece) + length(term)) OVER (PARTITION BY doc_id, term ORDER BY n) - length(term) AS pos FROM (
+  SELECT doc_id, term, unnest(pieces) AS piece, unnest(range(len(pieces))) AS n, len(pieces) AS k FROM held) WHERE n < k - 1)"""
 PAIRS = """c AS (SELECT least(a.term, b.term) AS t1, greatest(a.term, b.term) AS t2, count(*) AS cnt FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.term <> b.term
   AND b.pos - a.pos BETWEEN 0 AND 50 AND (b.pos > a.pos OR a.term < b.term) GROUP BY ALL HAVING count(*) >= 2)"""
 
@@ -151,22 +164,22 @@ ORACLE_SQL = {
       FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id""",
     "concept_match_all": f"""SELECT canonical AS concept, written AS term, CAST(sum((length(l) - length(replace(l, term, ''))) // length(term)) AS BIGINT) AS n, count(*) AS docs
       FROM (SELECT lower(text) AS l FROM documents), {TERMS} t WHERE instr(l, term) > 0 GROUP BY t.e, t.k, canonical, written""",
-    "concept_context": f"{WITH_DOCS} SELECT doc_id, substr(text, CAST(greatest(0, s - 50) AS BIGINT) + 1, CAST(s + length(term) + 50 - greatest(0, s - 50) AS BIGINT)) AS context FROM m WHERE n = 1",
+    "concept_context": f"{WITH_DOCS} SELECT doc_id, canonical AS concept, substr(text, CAST(greatest(0, s - 50) AS BIGINT) + 1, CAST(s + length(term) + 50 - greatest(0, s - 50) AS BIGINT)) AS context FROM m",
     "keyword_lookup": f"SELECT doc_id, term, canonical AS concept, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) JOIN {OWNER} o USING (term) GROUP BY ALL",
     "concept_postings": f"{WITH_POSTINGS} SELECT kind, key, count(*) AS chunks FROM p GROUP BY ALL",
     "capability_counts": f"{WITH_POSTINGS} SELECT key AS capability, source_type, count(*) AS chunks FROM p WHERE kind = 'capability' GROUP BY ALL",
     "capability_search": f"{WITH_POSTINGS} SELECT chunk_id, source_type, 1.0::DOUBLE AS combined_score, 'concept' AS retrieval_method FROM p WHERE kind = 'capability' AND key = 'Screening' ORDER BY chunk_id LIMIT 20",
-    "concept_search_topk": f"""{WITH_POSTINGS}, top AS (SELECT *, CAST(row_number() OVER (ORDER BY c DESC, chunk_id) AS INT) AS rank FROM {scored('Screening', "source_type IN ('document', 'log')")} ORDER BY c DESC, chunk_id LIMIT 25)
+    "concept_search_topk": f"""{WITH_POSTINGS}, top AS (SELECT *, CAST(row_number() OVER (ORDER BY round(c, 9) DESC, chunk_id) AS INT) AS rank FROM {scored('Screening', "source_type IN ('document', 'log')")} ORDER BY round(c, 9) DESC, chunk_id LIMIT 25)
       SELECT rank, chunk_id, round(c, 6) AS concept_score, coalesce((SELECT string_agg(DISTINCT canonical, ',' ORDER BY canonical) FROM m WHERE m.chunk_id = top.chunk_id AND list_contains({_ASKED}, lower(canonical))), '') AS matched_concepts FROM top""",
     "hybrid_search": f"""{WITH_POSTINGS}, v AS (SELECT doc_id, list_transform(range(64), lambda i: coalesce(map_extract(map(list(idx), list(weight)), i)[1], 0.0)) AS v FROM (
         SELECT doc_id, idx, CASE WHEN l > 0 THEN w / l ELSE w END AS weight FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS l FROM ({hashed(64)}))) GROUP BY doc_id),
       qv AS (SELECT list_transform(range(64), lambda i: coalesce(map_extract(map(list(idx), list(weight)), i)[1], 0.0)) AS v FROM (
         SELECT doc_id, idx, CASE WHEN l > 0 THEN w / l ELSE w END AS weight FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS l FROM ({hashed(64).replace('FROM documents', f"FROM (SELECT 0 AS doc_id, {q(Q.QUERY)} AS text)")}))) GROUP BY doc_id),
-      near AS (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS chunk_id, list_dot_product(v.v, qv.v) / (sqrt(list_dot_product(v.v, v.v)) * sqrt(list_dot_product(qv.v, qv.v)) + 1e-8) AS s FROM v, qv ORDER BY s DESC, chunk_id LIMIT 60),
+      near AS (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS chunk_id, list_dot_product(v.v, qv.v) / (sqrt(list_dot_product(v.v, v.v)) * sqrt(list_dot_product(qv.v, qv.v)) + 1e-8) AS s FROM v, qv ORDER BY round(s, 9) DESC, chunk_id LIMIT 60),
       f AS (SELECT chunk_id, coalesce(s, 0) AS s, coalesce(c, 0) AS c FROM near FULL JOIN {scored()} USING (chunk_id))
-      SELECT CAST(row_number() OVER (ORDER BY 0.5 * s + 0.5 * c DESC, chunk_id) AS INT) AS rank, chunk_id, round(s, 6) AS vector_score, round(c, 6) AS concept_score, round(0.5 * s + 0.5 * c, 6) AS combined_score,
-        CASE WHEN s > 0 AND c > 0 THEN 'hybrid' WHEN s > 0 THEN 'vector' ELSE 'concept' END AS retrieval_method FROM f ORDER BY 0.5 * s + 0.5 * c DESC, chunk_id LIMIT 20""",
-    "cross_reference": f"""{WITH_POSTINGS}, own AS (SELECT *, row_number() OVER (ORDER BY c DESC, chunk_id) AS rank FROM {scored(where="source_type = 'document'")} ORDER BY c DESC, chunk_id LIMIT 5),
+      SELECT CAST(row_number() OVER (ORDER BY round(0.5 * s + 0.5 * c, 9) DESC, chunk_id) AS INT) AS rank, chunk_id, round(s, 6) AS vector_score, round(c, 6) AS concept_score, round(0.5 * s + 0.5 * c, 6) AS combined_score,
+        CASE WHEN s > 0 AND c > 0 THEN 'hybrid' WHEN s > 0 THEN 'vector' ELSE 'concept' END AS retrieval_method FROM f ORDER BY round(0.5 * s + 0.5 * c, 9) DESC, chunk_id LIMIT 20""",
+    "cross_reference": f"""{WITH_POSTINGS}, own AS (SELECT *, row_number() OVER (ORDER BY round(c, 9) DESC, chunk_id) AS rank FROM {scored(where="source_type = 'document'")} ORDER BY round(c, 9) DESC, chunk_id LIMIT 5),
       names AS (SELECT lower(canonical) AS key, row_number() OVER (ORDER BY r, canonical) AS o FROM (SELECT canonical, min(rank) AS r FROM own JOIN m USING (chunk_id) GROUP BY 1) ORDER BY r, canonical LIMIT 5),
       hits AS (SELECT source_type, chunk_id, min(o) AS o FROM p JOIN names USING (key) WHERE kind = 'concept' AND source_type IN ('code', 'log') GROUP BY ALL)
       SELECT 'document' AS result_type, rank, chunk_id, round(c, 6) AS score, 'concept' AS retrieval_method FROM own UNION ALL
@@ -176,17 +189,17 @@ ORACLE_SQL = {
       cand AS (SELECT id, 0 AS n, 0 AS i, text AS x FROM qs UNION ALL SELECT id, n, 0, canonical FROM m WHERE lower(canonical) <> lower(written) UNION ALL SELECT m.id, m.n, rel.i, rel.term FROM m JOIN rel USING (canonical)),
       kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, lower(x) ORDER BY n, i) AS rn FROM cand) WHERE rn = 1 OR i = 0)
       SELECT text AS query, expanded FROM qs JOIN (SELECT id, string_agg(x, '|' ORDER BY n, i) AS expanded FROM kept GROUP BY id) USING (id)""",
-    "vector_topk": "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_dot_product(v.embedding::DOUBLE[], q.e) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.e, q.e)) + 1e-8) AS s FROM embeddings v, q) SELECT vec_id, round(s, 6) AS score FROM s ORDER BY s DESC, vec_id LIMIT 15",
-    "vector_topk_filtered": "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_dot_product(v.embedding::DOUBLE[], q.e) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.e, q.e)) + 1e-8) AS s FROM embeddings v, q WHERE label IN (1, 2)) SELECT vec_id, round(s, 6) AS score FROM s ORDER BY s DESC, vec_id LIMIT 15",
-    "batch_vector_topk": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e)) + 1e-8) AS s FROM e q, e v WHERE q.vec_id % 20 = 0) SELECT query_id, rank, vec_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) WHERE rank <= 3",
+    "vector_topk": "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_dot_product(v.embedding::DOUBLE[], q.e) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.e, q.e)) + 1e-8) AS s FROM embeddings v, q) SELECT vec_id, round(s, 6) AS score FROM s ORDER BY round(s, 9) DESC, vec_id LIMIT 15",
+    "vector_topk_filtered": "WITH q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, list_dot_product(v.embedding::DOUBLE[], q.e) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.e, q.e)) + 1e-8) AS s FROM embeddings v, q WHERE label IN (1, 2)) SELECT vec_id, round(s, 6) AS score FROM s ORDER BY round(s, 9) DESC, vec_id LIMIT 15",
+    "batch_vector_topk": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e)) + 1e-8) AS s FROM e q, e v WHERE q.vec_id % 20 = 0) SELECT query_id, rank, vec_id, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= 3",
     "cosine_pairs": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) SELECT a.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1",
     "token_counts": f"SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY term",
-    "bigram_counts": f"SELECT term, count(*) AS tf FROM (SELECT unnest({pairs('t')}) AS term FROM (SELECT {TOKENS} AS t FROM documents)) GROUP BY term HAVING count(*) >= 3",
+    "bigram_counts": f"SELECT term, count(*) AS tf FROM (SELECT unnest({pairs('t')}) AS term FROM (SELECT {TOKENS} AS t FROM documents)) GROUP BY term",
     "stem_counts": f"SELECT {stem('w')} AS stem, count(*) AS tf FROM (SELECT unnest({TOKENS}) AS w FROM documents) GROUP BY ALL",
     "stopword_filtered": f"SELECT doc_id, CAST(len(t) AS BIGINT) AS all_tokens, CAST(len(list_filter(t, lambda x: NOT list_contains({STOP}, x))) AS BIGINT) AS kept FROM (SELECT doc_id, {TOKENS} AS t FROM documents)",
     "tfidf_weights": f"""WITH w AS (SELECT doc_id, {stem('x')} AS term FROM (SELECT doc_id, unnest(list_filter(t || {pairs('t')}, lambda y: NOT list_contains({STOP}, y))) AS x FROM (SELECT doc_id, {TOKENS} AS t FROM documents))),
       tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
-      top AS (SELECT term, row_number() OVER (ORDER BY freq DESC, term) - 1 AS idx, ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1 AS idf FROM (SELECT term, sum(tf) AS freq, count(*) AS df FROM tf GROUP BY term ORDER BY freq DESC, term LIMIT 500))
+      top AS (SELECT term, row_number() OVER (ORDER BY freq DESC, term) - 1 AS idx, ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1 AS idf FROM (SELECT term, sum(tf) AS freq, count(*) AS df FROM tf GROUP BY term ORDER BY freq DESC, term LIMIT 10000))
       {normal(f"SELECT doc_id, idx, (1 + ln(tf)) * idf * {boost('term')} AS w FROM tf JOIN top USING (term)", 'doc_id, idx', 5)}""",
     "bm25_weights": f"""WITH t AS (SELECT doc_id, list_filter({TOKENS}, lambda y: NOT list_contains({STOP}, y)) AS t FROM documents), a AS (SELECT avg(len(t)) AS a, count(*) AS n FROM t),
       tf AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS len FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
@@ -196,18 +209,20 @@ ORACLE_SQL = {
     "explain_embedding": f"{WITH_DOCS} {normal(ACTIVE, 'doc_id, name', 6)}",
     "hybrid_embedding": f"""{WITH_DOCS}, c AS ({normal(ACTIVE, 'doc_id, CAST(idx AS BIGINT) AS idx', 15)}), h AS ({normal(hashed(64), 'doc_id, idx', 15)})
       SELECT doc_id, idx, round(0.6 * weight, 5) AS weight FROM c UNION ALL SELECT doc_id, idx + {embed.ConceptEmbedder(V).n_dimensions}, round(0.4 * weight, 5) FROM h""",
-    "heading_detection": f"SELECT i, {heading('t')} AS heading FROM (SELECT i, trim(line) AS t FROM {values([(str(i), q(h)) for i, h in enumerate(Q.HEADINGS)], 'i, line')})",
+    "heading_detection": f"SELECT doc_id, count(*) AS lines, count(*) FILTER (coalesce({heading('t')}, FALSE)) AS headings FROM (SELECT doc_id, {strip('line')} AS t FROM (SELECT doc_id, unnest(string_split(replace(text, '. ', chr(10)), chr(10))) AS line FROM documents)) GROUP BY doc_id",
     "doc_sections": f"""WITH {chunked('long', 1200, 100).replace('RECURSIVE', f'RECURSIVE {SECTIONS},', 1)},
       c AS (SELECT doc_id, title, CAST(k AS VARCHAR) AS chunk_index, text FROM sec WHERE length(text) BETWEEN 20 AND 1500 UNION ALL SELECT doc_id, title, k || '_' || i, chunk FROM pieces JOIN sec ON key = doc_id || '/' || k)
       SELECT 'd' || doc_id AS path, chunk_index, 'document_' || left(md5('d' || doc_id || ':' || left(text, 200) || ':' || chunk_index), 12) AS chunk_id,
         CASE WHEN coalesce(title, '') <> '' THEN 'section' ELSE 'paragraph' END AS semantic_type, md5(text) AS text_md5 FROM c""",
     "llm_sanitized": f"""SELECT doc_id, md5({strip("regexp_replace(regexp_replace(chr(1) || 'a' || chr(160) || repeat(chr(10), 4) || 'b' || chr(8232) || text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f\\x{a0}\\x{ad}\\x{1680}\\x{2000}-\\x{200f}\\x{2028}-\\x{202f}\\x{205f}-\\x{206f}\\x{3000}\\x{feff}\\x{e000}-\\x{f8ff}]', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")}) AS clean_md5 FROM documents""",
-    "tal_procedures": f"""WITH t AS (SELECT string_split({literal(Q.TAL)}, chr(10)) AS x), l AS (SELECT unnest(x) AS line, unnest(range(1, len(x) + 1)) AS n FROM t),
-      g AS (SELECT *, regexp_matches(line, {q(tal.PROC)}) AS h, sum(CAST(regexp_matches(line, {q(tal.PROC)}) AS INT)) OVER (ORDER BY n) AS g FROM l),
-      p AS (SELECT g, max(line) FILTER (h) AS head, min(n) AS line_start, max(n) AS line_end, string_agg(line, chr(10) ORDER BY n) AS text FROM g WHERE g > 0 GROUP BY g),
+    "tal_procedures": f"""WITH f AS (SELECT p_brand || '.tal' AS path, '! preamble' || chr(10) || string_agg(CASE WHEN p_size % 2 = 0 THEN 'INT ' ELSE '' END || 'PROC part^' || p_partkey || '(a);' || chr(10) || 'BEGIN' || chr(10) || ' CALL helper^' || p_size || ';' || chr(10)
+        || ' x := $LEN(a);' || chr(10) || ' s := "' || p_name || '"; ! SIZE_' || p_size || chr(10) || 'END;', chr(10) ORDER BY p_partkey) AS text FROM part GROUP BY p_brand),
+      l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM f),
+      g AS (SELECT *, regexp_matches(line, {q(tal.PROC)}) AS h, sum(CAST(regexp_matches(line, {q(tal.PROC)}) AS INT)) OVER (PARTITION BY path ORDER BY n) AS g FROM l),
+      p AS (SELECT path, g, max(line) FILTER (h) AS head, min(n) AS line_start, max(n) AS line_end, string_agg(line, chr(10) ORDER BY n) AS text FROM g WHERE g > 0 GROUP BY path, g),
       k AS (SELECT *, list_sort(list_distinct(regexp_extract_all(text, '\\$[A-Z][A-Z0-9_]*') || regexp_extract_all(text, '(?i)CALL\\s+([A-Za-z_][A-Za-z0-9_\\^]*)', 1) || regexp_extract_all(text, '\\b([A-Z][A-Z0-9_]{{3,}})\\b', 1) || regexp_extract_all(text, '"([^"]+)"', 1))) AS words FROM p)
-      SELECT regexp_extract(head, {q(tal.PROC)}, 2) AS procedure_name, nullif(regexp_extract(head, {q(tal.PROC)}, 1), '') AS return_type, line_start, line_end, array_to_string(words, ',') AS keywords,
-        'code_' || left(md5('a.tal:' || left(text, 200) || ':' || regexp_extract(head, {q(tal.PROC)}, 2)), 12) AS chunk_id FROM k""",
+      SELECT path, regexp_extract(head, {q(tal.PROC)}, 2) AS procedure_name, nullif(regexp_extract(head, {q(tal.PROC)}, 1), '') AS return_type, line_start, line_end, array_to_string(words, ',') AS keywords,
+        'code_' || left(md5(path || ':' || left(text, 200) || ':' || regexp_extract(head, {q(tal.PROC)}, 2)), 12) AS chunk_id FROM k""",
     "chunk_text": f"WITH {CHUNKED} SELECT key AS doc_id, i, md5(chunk) AS chunk_md5 FROM pieces UNION ALL SELECT doc_id, 0, md5(text) FROM documents WHERE length(text) <= 1200",
     "chunk_ids": "SELECT doc_id, 'document_' || left(md5(source || ':' || left(text, 200) || ':'), 12) AS chunk_id, left(md5(source || ':' || left(text, 100)), 12) AS fallback_id FROM documents",
     "html_strip": f"SELECT page_id, md5({strip(f'''regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '{_BLANK}+', ' ', 'g')''')}) AS text_md5 FROM pages",
@@ -216,25 +231,26 @@ ORACLE_SQL = {
       h AS (SELECT doc_id, text, concat_ws(' ', CASE WHEN names IS NOT NULL THEN 'Document section about ' || array_to_string(names, ', ') || '.' END, CASE WHEN len(caps) > 0 THEN 'Business capabilities: ' || array_to_string(caps, ', ') || '.' END, 'Section: T') AS head,
         coalesce(length('Document section about ' || array_to_string(names, ', ') || '.'), 0) + CASE WHEN len(caps) > 0 THEN length('Business capabilities: ' || array_to_string(caps, ', ') || '.') ELSE 0 END + 10 AS used FROM documents LEFT JOIN d USING (doc_id))
       SELECT doc_id, md5(head || ' ' || left(text, 1500 - used)) AS said_md5 FROM h""",
-    "markdown_sections": f"""WITH t AS (SELECT string_split({literal(Q.MARKDOWN)}, chr(10)) AS x), l AS (SELECT unnest(x) AS line, unnest(range(len(x))) AS n FROM t),
-      g AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+.+$') AS head, sum(CAST(regexp_matches(line, '^#{{1,6}}\\s+.+$') AS INT)) OVER (ORDER BY n) AS g FROM l),
-      s AS (SELECT g, max(line) FILTER (head) AS h, {strip("coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT head), '')")} AS content FROM g WHERE g > 0 GROUP BY g)
-      SELECT row_number() OVER (ORDER BY g) - 1 AS i, regexp_extract(h, '^#{{1,6}}\\s+(.+)$', 1) AS title, content, length(regexp_extract(h, '^#+')) - 1 AS section_level FROM s WHERE content <> ''""",
+    "markdown_sections": f"""WITH t AS (SELECT conv_id, string_split(string_agg(repeat('#', least(turn % 4 + 1, 6)) || ' ' || role || ' ' || turn || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn), chr(10)) AS x FROM conversations GROUP BY conv_id),
+      l AS (SELECT conv_id, unnest(x) AS line, unnest(range(len(x))) AS n FROM t),
+      g AS (SELECT *, regexp_matches(line, '^#{{1,6}}\\s+.+$') AS head, sum(CAST(regexp_matches(line, '^#{{1,6}}\\s+.+$') AS INT)) OVER (PARTITION BY conv_id ORDER BY n) AS g FROM l),
+      s AS (SELECT conv_id, g, max(line) FILTER (head) AS h, {strip("coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT head), '')")} AS content FROM g WHERE g > 0 GROUP BY conv_id, g)
+      SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY g) - 1 AS i, regexp_extract(h, '^#{{1,6}}\\s+(.+)$', 1) AS title, md5(content) AS content_md5, length(regexp_extract(h, '^#+')) - 1 AS section_level FROM s WHERE content <> ''""",
     "log_level_extract": f"SELECT level, is_error, 'E' AS error_code, count(*) AS n, min(timestamp) AS first_ts, CAST(max(CAST(amount AS DOUBLE)) AS DOUBLE) AS max_amount FROM {ENTRIES} GROUP BY ALL",
     "log_trace_group": f"SELECT trace_id, entry_count, start_time, end_time, has_error, line_start, line_end, 'log_' || left(md5('events.log:' || left(text, 200) || ':' || trace_id), 12) AS chunk_id, last_amount FROM {traces(50)}",
     "log_batches": f"""SELECT batch, count(*) AS entry_count, bool_or(is_error) AS has_error, coalesce(string_agg(DISTINCT level, ',' ORDER BY level), '') AS levels, min(line_number) AS line_start, max(line_number) AS line_end, md5(string_agg(message, chr(10) ORDER BY line_number)) AS text_md5
       FROM (SELECT *, (row_number() OVER (ORDER BY line_number) - 1) // 10 AS batch FROM {ENTRIES}) GROUP BY batch""",
-    "error_traces": f"SELECT CASE WHEN has_error THEN 'error_trace' ELSE 'transaction' END AS semantic_type, count(*) AS traces, CAST(sum(entry_count) AS BIGINT) AS entries FROM {traces(20)} GROUP BY ALL",
+    "error_traces": f"SELECT CASE WHEN has_error THEN 'error_trace' ELSE 'transaction' END AS semantic_type, count(*) AS traces, CAST(sum(entry_count) AS BIGINT) AS entries FROM {traces(50)} GROUP BY ALL",
     "last_batch": f"SELECT batch, count(*) AS traces, CAST(sum(entry_count) AS BIGINT) AS entries FROM {traces(50, ', (line_number - 1) // 1000 AS batch', 'batch,')} GROUP BY batch",
     "json_field_extract": f"SELECT upper(event_type) AS level, upper(event_type) IN ({_LEVELS}) AS is_error, count(*) AS n, count(DISTINCT user_id) AS traces, count(DISTINCT props) AS messages FROM events GROUP BY ALL",
     "text_logs": f"""WITH f AS (SELECT conv_id, string_agg(upper(role) || ' ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
       l AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM f)
       SELECT CAST(conv_id AS VARCHAR) AS path, count(*) AS entries, max(n) AS last_line, CAST(sum(length({strip('line')})) AS BIGINT) AS n_chars FROM l WHERE {strip('line')} <> '' GROUP BY ALL""",
     "cooccurrence_pairs": f"WITH {PLACES}, {PAIRS} SELECT * FROM c",
-    "npmi": f"""WITH {PLACES}, {PAIRS}, f AS (SELECT term, count(*) AS f FROM o GROUP BY term),
-      x AS (SELECT t1, t2, cnt, cnt / sum(cnt) OVER () AS j, a.f / (SELECT sum(f) FROM f) AS p1, b.f / (SELECT sum(f) FROM f) AS p2 FROM c JOIN f a ON a.term = t1 JOIN f b ON b.term = t2)
+    "npmi": f"""WITH {PLACES}, {PAIRS},
+      x AS (SELECT t1, t2, cnt, cnt / sum(cnt) OVER () AS j, a.frequency / (SELECT sum(frequency) FROM top) AS p1, b.frequency / (SELECT sum(frequency) FROM top) AS p2 FROM c JOIN top a ON a.term = t1 JOIN top b ON b.term = t2)
       SELECT t1, t2, cnt, round(CASE WHEN j < 1 THEN greatest(0, ln(j / (p1 * p2)) / -ln(j)) ELSE 0 END, 6) AS npmi FROM x""",
-    "llm_context_text": f"""{WITH_POSTINGS}, top AS (SELECT *, row_number() OVER (ORDER BY c DESC, chunk_id) AS rank FROM {scored()} ORDER BY c DESC, chunk_id LIMIT 6),
+    "llm_context_text": f"""{WITH_POSTINGS}, top AS (SELECT *, row_number() OVER (ORDER BY round(c, 9) DESC, chunk_id) AS rank FROM {scored()} ORDER BY round(c, 9) DESC, chunk_id LIMIT 6),
       x AS (SELECT rank, source_type, path, {strip('text')} AS body, 'Score: ' || printf('%.3f', c) AS score,
         'Concepts: ' || (SELECT array_to_string(list(DISTINCT canonical ORDER BY canonical)[1:5], ', ') FROM m WHERE m.chunk_id = top.chunk_id AND list_contains({_ASKED}, lower(canonical))) AS concepts,
         (SELECT flatten(list(caps ORDER BY n)) FROM m WHERE m.chunk_id = top.chunk_id) AS caps FROM top JOIN {CHUNKS} USING (chunk_id)),
@@ -243,14 +259,7 @@ ORACLE_SQL = {
         WHEN 'document' THEN concat_ws(chr(10), chr(10) || '--- Document: ' || path || ' ---', score, concepts, '', body) ELSE concat_ws(chr(10), chr(10) || '--- Log: ' || path || ' ---', score, '', body) END AS said FROM y),
       w AS (SELECT concat_ws(chr(10), {', '.join(f"(SELECT {q(repeat)} || repeat('=', 60) || chr(10) || {q(title)} || chr(10) || repeat('=', 60) || chr(10) || string_agg(said, chr(10) ORDER BY rank) FROM z WHERE source_type = {q(kind)} HAVING count(*) > 0)" for kind, title, repeat in (('code', 'CODE ARTIFACTS', ''), ('document', 'DOCUMENTATION ARTIFACTS', chr(10)), ('log', 'LOG ARTIFACTS', chr(10))))}) AS context)
       SELECT md5(context) AS context_md5, length(context) AS n_chars FROM w""",
-    "learned_term_stats": f"""WITH l AS (SELECT doc_id, {ascii_words('lower(text)', 'Z')} AS t FROM documents),
-      w AS (SELECT doc_id, [x] AS w FROM (SELECT doc_id, unnest(regexp_extract_all(t, '{learned.UNIGRAM[4:]}', 1)) AS x FROM l) UNION ALL
-        SELECT doc_id, regexp_split_to_array(unnest(regexp_extract_all(t, '{learned.BIGRAM[4:]}')), '\\s+') FROM l),
-      tf AS (SELECT doc_id, array_to_string(w, ' ') AS term, count(*) AS tf FROM w
-        WHERE len(list_filter(w, lambda x: length(x) < 2 OR regexp_full_match(x, '[0-9]+') OR list_contains({listed(learned.STOPWORDS)}, x))) = 0 GROUP BY ALL),
-      n AS (SELECT count(*) AS n FROM documents)
-      SELECT term, CAST(sum(tf) AS BIGINT) AS frequency, count(*) AS doc_frequency, round((1 + ln(sum(tf))) * ln(any_value(n) / (1 + count(*))), 6) AS tfidf
-      FROM tf, n GROUP BY term HAVING sum(tf) >= 3 AND count(*) <= 0.8 * any_value(n)""",
+    "learned_term_stats": f"WITH {term_stats(6)} SELECT * FROM stats",
     "extracted_keywords": f"""WITH l AS (SELECT doc_id, {ascii_words("'NASA_X WireTransfer ' || text", '0')} AS t FROM documents),
       k AS (SELECT doc_id, {' || '.join(f"regexp_extract_all(t, '{p}')" for p in T.KEYWORDS)} AS k FROM l),
       d AS (SELECT doc_id, unnest(list_filter(k, lambda x, i: list_position(list_transform(k, lambda y: lower(y)), lower(x)) = i)) AS k FROM k)
@@ -262,6 +271,6 @@ ORACLE_SQL = {
       SELECT 'total_entries' AS metric, '' AS name, CAST(count(*) AS DOUBLE) AS value FROM e UNION ALL SELECT 'total_terms', '', count(DISTINCT term) FROM t UNION ALL SELECT 'categories', '', count(DISTINCT category) FROM e
       UNION ALL SELECT 'capabilities', '', count(DISTINCT c) FROM (SELECT unnest(caps) AS c FROM e) UNION ALL SELECT 'terms_per_entry', '', round((SELECT count(DISTINCT term) FROM t) / (SELECT count(*) FROM e), 2)
       UNION ALL (SELECT 'top_category', category, count(*) FROM e GROUP BY category ORDER BY count(*) DESC, category LIMIT 10)""",
-    "source_types": f"SELECT path, CASE WHEN list_contains(['.tal', '.tacl', '.txt'], x) THEN 'code' WHEN list_contains(['.pdf', '.docx', '.doc', '.md', '.html'], x) THEN 'document' WHEN list_contains(['.log', '.json', '.jsonl'], x) THEN 'log' END AS source_type FROM (SELECT path, lower(regexp_extract(path, '\\.[^./]*$')) AS x FROM {values([(q(n),) for n in ('a.tal', 'b.TXT', 'c.md', 'd.PDF', 'e.log', 'f.jsonl', 'g.xyz', 'noext', 'x/y.z/h.html')], 'path')})",
-    "source_refs": "SELECT 'f.tal:' || CASE l_linenumber WHEN 1 THEN 'line 1' ELSE 'lines 2-5' END || ':proc p:@ ' || l_returnflag AS ref, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL",
+    "source_types": f"SELECT doc_id, path, CASE WHEN list_contains(['.tal', '.tacl', '.txt'], x) THEN 'code' WHEN list_contains(['.pdf', '.docx', '.doc', '.md', '.html'], x) THEN 'document' WHEN list_contains(['.log', '.json', '.jsonl'], x) THEN 'log' END AS source_type FROM (SELECT doc_id, path, lower(regexp_extract(path, '\\.[^./]*$')) AS x FROM (SELECT doc_id, source || '/' || doc_id || ({listed(Q.ENDINGS)})[doc_id % {len(Q.ENDINGS)} + 1] AS path FROM documents))",
+    "source_refs": "SELECT 'f.tal:' || CASE WHEN l_linenumber % 2 = 0 THEN 'lines ' || l_linenumber || '-' || (l_linenumber + 3) ELSE 'line ' || l_linenumber END || ':proc p:@ ' || l_returnflag AS ref, count(*) AS n FROM lineitem GROUP BY ALL",
 }

@@ -27,9 +27,7 @@ VOCABULARY = Vocabulary(
     ]
 )
 QUERY = "mail the license and the tion of que de"
-MARKDOWN = "lost\n# First  \nbody one\n\n## Second\n\n### Third head\nbody three\nmore\n#none\n# Last\n tail "
-TAL = "! preamble\nINT PROC first^one(a);\nBEGIN\n CALL helper^it;\n x := $LEN(a);\nEND;\n\n  proc SECOND_TWO;\n \"wire\" MAXVALUE\nEND;\nSTRING PROC third;\nEND;"
-HEADINGS = ["OVERVIEW", "1. Scope of", "Title Case Words", "plain words here", "Ends with dot.", "A-1: B2", "", "12 x", "Mixed UP", "ÉTÉ", "list,", "X" * 99, "X" * 100, "Two Words"]
+ENDINGS = [".tal", ".TXT", ".md", ".PDF", ".log", ".jsonl", ".xyz", "", ".z/h.html"]
 KINDS = {"en": "document", "de": "code", "fr": "log"}
 
 
@@ -75,7 +73,7 @@ def concept_match_all(spark, sf):
 
 def concept_context(spark, sf):
     df = match_text(documents(spark, sf), VOCABULARY)
-    return df.select("doc_id", F.explode(F.slice("domain_matches", 1, 1)).alias("m")).select("doc_id", F.col("m.context").alias("context"))
+    return df.select("doc_id", F.explode("domain_matches").alias("m")).select("doc_id", F.col("m.canonical_term").alias("concept"), F.col("m.context").alias("context"))
 
 
 def keyword_lookup(spark, sf):
@@ -146,7 +144,7 @@ def token_counts(spark, sf):
 
 def bigram_counts(spark, sf):
     df = documents(spark, sf).select(F.explode(T.bigrams(T.tokenize(F.col("text")))).alias("term"))
-    return df.groupBy("term").agg(F.count("*").alias("tf")).where("tf >= 3")
+    return df.groupBy("term").agg(F.count("*").alias("tf"))
 
 
 def stem_counts(spark, sf):
@@ -161,13 +159,13 @@ def stopword_filtered(spark, sf):
 
 def tfidf_weights(spark, sf):
     df = documents(spark, sf)
-    model = embed.TFIDFEmbedder(VOCABULARY, max_features=500).fit(df)
+    model = embed.TFIDFEmbedder(VOCABULARY).fit(df, id="doc_id")
     return model.sparse(df, "doc_id").select("doc_id", F.col("idx").cast("long").alias("idx"), F.round("weight", 5).alias("weight"))
 
 
 def bm25_weights(spark, sf):
     df = documents(spark, sf)
-    return embed.BM25Embedder(VOCABULARY).fit(df).sparse(df, "doc_id").select("doc_id", "term", F.round("weight", 5).alias("weight"))
+    return embed.BM25Embedder(VOCABULARY).fit(df, id="doc_id").sparse(df, "doc_id").select("doc_id", "term", F.round("weight", 5).alias("weight"))
 
 
 def hash_embedding_sparse(spark, sf):
@@ -194,8 +192,9 @@ def cosine_pairs(spark, sf):
 
 
 def heading_detection(spark, sf):
-    df = spark.createDataFrame(list(enumerate(HEADINGS)), "i long, line string")
-    return df.select("i", T.is_heading(F.col("line")).alias("heading"))
+    """Headings among the sentences and lines of all documents."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.replace(F.col("text"), F.lit(". "), F.lit("\n")), "\n", -1)).alias("i", "line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(T.is_heading(F.col("line"))).alias("headings"))
 
 
 def doc_sections(spark, sf):
@@ -235,13 +234,22 @@ def extracted_keywords(spark, sf):
 
 
 def markdown_sections(spark, sf):
-    df = spark.createDataFrame([(MARKDOWN,)], "text string").select(F.posexplode(docs_source.markdown_sections(F.col("text"))).alias("i", "s"))
-    return df.select(F.col("i").cast("long").alias("i"), "s.title", "s.content", F.col("s.section_level").cast("long").alias("section_level"))
+    """All conversations as Markdown, a section for each turn."""
+    df = table(spark, sf, "conversations").withColumn("part", F.concat(F.repeat(F.lit("#"), F.least(F.col("turn") % 4 + 1, F.lit(6)).cast("int")), F.lit(" "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), F.coalesce("text", F.lit(""))))
+    df = df.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n").alias("text"))
+    df = df.select("conv_id", F.posexplode(docs_source.markdown_sections(F.col("text"))).alias("i", "s"))
+    return df.select("conv_id", F.col("i").cast("long").alias("i"), "s.title", F.md5("s.content").alias("content_md5"), F.col("s.section_level").cast("long").alias("section_level"))
 
 
 def tal_procedures(spark, sf):
-    df = spark.createDataFrame([("a.tal", TAL)], "path string, text string")
-    return tal.chunks(df).select("procedure_name", "return_type", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), F.array_join("keywords", ",").alias("keywords"), "chunk_id")
+    """Procedures of source files made of all parts, a file for each brand."""
+    return tal.chunks(tal_files(spark, sf)).select("path", "procedure_name", "return_type", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), F.array_join("keywords", ",").alias("keywords"), "chunk_id")
+
+
+def tal_files(spark, sf):
+    proc = F.format_string("%sPROC part^%d(a);\nBEGIN\n CALL helper^%d;\n x := $LEN(a);\n s := \"%s\"; ! SIZE_%d\nEND;", F.when(F.col("p_size") % 2 == 0, "INT ").otherwise(""), "p_partkey", F.col("p_size"), "p_name", F.col("p_size"))
+    files = table(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", proc.alias("proc")))).alias("procs"))
+    return files.select(F.concat("p_brand", F.lit(".tal")).alias("path"), F.concat(F.lit("! preamble\n"), F.array_join(F.transform("procs", lambda x: x["proc"]), "\n")).alias("text"))
 
 
 def event_lines(spark, sf):
@@ -268,7 +276,7 @@ def log_batches(spark, sf):
 
 
 def error_traces(spark, sf):
-    out = logs.traces(logs.line_entries(event_lines(spark, sf)), limit=20)
+    out = logs.traces(logs.line_entries(event_lines(spark, sf)))
     return out.groupBy("semantic_type").agg(F.count("*").alias("traces"), F.sum("entry_count").alias("entries"))
 
 
@@ -281,29 +289,28 @@ def json_field_extract(spark, sf):
 
 
 def learned_term_stats(spark, sf):
-    out = learned.term_statistics(documents(spark, sf), learned.Config(extract_trigrams=False), all_terms=True)
+    out = learned.term_statistics(documents(spark, sf), learned.Config(), all_terms=True)
     return out.select("term", "frequency", "doc_frequency", _r("tfidf", "tfidf"))
 
 
-_PAIR_TERMS = ["tion", "ation", "the", "and", "ment", "que", "und", "nicht", "keit", "con"]
+def _terms(spark, sf):
+    """The learned terms of the corpus with their statistics."""
+    return [(r.term, r.frequency) for r in learned.term_statistics(documents(spark, sf), learned.Config()).collect()]  # max_terms rows
 
 
 def cooccurrence_pairs(spark, sf):
-    return learned.cooccurrence(documents(spark, sf), _PAIR_TERMS, learned.Config())
+    return learned.cooccurrence(documents(spark, sf), [t for t, _ in _terms(spark, sf)], learned.Config())
 
 
 def npmi(spark, sf):
     df = documents(spark, sf)
-    pairs = learned.cooccurrence(df, _PAIR_TERMS, learned.Config())
-    low = F.lower("text")
-    listed = F.array(*map(F.lit, _PAIR_TERMS))
-    stats = df.select(F.explode(F.transform(listed, lambda t: F.struct(t.alias("term"), ((F.length(low) - F.length(F.replace(low, t, F.lit("")))) / F.length(t)).alias("n")))).alias("x"))
-    stats = stats.groupBy("x.term").agg(F.sum("x.n").cast("long").alias("frequency"))
-    return learned.npmi(pairs, stats).select("t1", "t2", "cnt", _r("npmi", "npmi"))
+    terms = _terms(spark, sf)
+    pairs = learned.cooccurrence(df, [t for t, _ in terms], learned.Config())
+    return learned.npmi(pairs, spark.createDataFrame(terms, "term string, frequency long")).select("t1", "t2", "cnt", _r("npmi", "npmi"))
 
 
 def _dimensions(spark, sf, clustering):
-    config = learned.Config(n_dimensions=8, max_terms=60, clustering=clustering, extract_trigrams=False)
+    config = learned.Config(clustering=clustering)
     df = documents(spark, sf)
     return learned.LearnedEmbedder(config).fit(df), df
 
@@ -341,14 +348,15 @@ def llm_sanitized(spark, sf):
 
 
 def source_types(spark, sf):
-    names = ["a.tal", "b.TXT", "c.md", "d.PDF", "e.log", "f.jsonl", "g.xyz", "noext", "x/y.z/h.html"]
-    df = spark.createDataFrame([(n,) for n in names], "path string")
-    return df.select("path", files.source_type(F.col("path")).alias("source_type"))
+    """A file name for each document, with endings in turn."""
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % len(ENDINGS) + 1).cast("int"))
+    df = table(spark, sf, "documents").select("doc_id", F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), ending).alias("path"))
+    return df.select("doc_id", "path", files.source_type(F.col("path")).alias("source_type"))
 
 
 def source_refs(spark, sf):
-    df = table(spark, sf, "lineitem").where("l_linenumber <= 2")
-    ref = T.source_ref(F.lit("f.tal"), F.col("l_linenumber"), F.when(F.col("l_linenumber") == 2, F.col("l_linenumber") + 3), F.lit("p"), F.lit(None).cast("int"), F.col("l_returnflag"))
+    df = table(spark, sf, "lineitem")
+    ref = T.source_ref(F.lit("f.tal"), F.col("l_linenumber"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") + 3), F.lit("p"), F.lit(None).cast("int"), F.col("l_returnflag"))
     return df.groupBy(ref.alias("ref")).agg(F.count("*").alias("n"))
 
 

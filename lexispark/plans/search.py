@@ -65,8 +65,9 @@ def hybrid_search(
         near = vector_topk(chunks, query_embedding, 3 * top_k, where=where).withColumnRenamed("score", "vector_score")
         fused = near.join(concepts, "chunk_id", "full_outer").select("chunk_id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("vector_score", "concept_score")])
     fused = fused.withColumn("combined_score", vector_weight * F.col("vector_score") + concept_weight * F.col("concept_score"))
-    top = fused.orderBy(F.desc("combined_score"), "chunk_id").limit(top_k)
-    top = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("combined_score"), "chunk_id")))  # of top_k rows
+    order = (F.desc(F.round("combined_score", 9)), "chunk_id")  # sums in another order differ in their last bits
+    top = fused.orderBy(*order).limit(top_k)
+    top = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # of top_k rows
     asked = [vocabulary.entries[e].canonical_term.lower() for _, e, _ in vocabulary.match(query)]
     method = F.when((F.col("vector_score") > 0) & (F.col("concept_score") > 0), "hybrid").when(F.col("vector_score") > 0, "vector").otherwise("concept")
     hit = F.filter("domain_matches", lambda m: F.lower(m["canonical_term"]).isin(asked) if asked else F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
+from lexispark.operators.embed import numbered
 
 MAX_TRACE, BATCH = 50, 10
 #: What is looked for in a line of text, and the group that is taken.
@@ -137,8 +138,8 @@ def traces(df: DataFrame, limit: int = MAX_TRACE) -> DataFrame:
 
 def batches(df: DataFrame, size: int = BATCH) -> DataFrame:
     """Entries in file order, ``size`` to a chunk. (path, batch, entry_count, has_error, levels, text, line_start, line_end, ...)"""
-    n = F.row_number().over(Window.partitionBy("path").orderBy("line_number")) - 1
-    df = df.withColumn("batch", F.floor(n / size).cast("long"))
+    df = numbered(df, ["line_number"], F.floor(F.col("line_number") / 100_000), ["path"], "_n")  # a large file is many blocks of lines
+    df = df.withColumn("batch", F.floor(F.col("_n") / size).cast("long"))
     df = df.groupBy("path", "batch").agg(F.sort_array(F.collect_list(F.struct("line_number", "message", "level", "is_error", "timestamp"))).alias("e"))
     text, wrong = F.array_join(F.transform("e", lambda x: x["message"]), "\n"), F.exists("e", lambda x: x["is_error"])
     return df.select(
