@@ -140,6 +140,26 @@ def _marks(ids: DataFrame) -> np.ndarray:
     return out
 
 
+#: A name of a string of the threshold's length: two independent hashes, 96 bits in all.
+NAME = np.dtype([("rank", "<u8"), ("check", "<u4")])
+PRIME, BASE = U64(4_294_967_291), U64(2_654_435_761)
+INVERSE = U64(pow(int(BASE), -1, int(PRIME)))
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _prime_powers(n: int, base: np.uint64) -> np.ndarray:
+    """Powers 0 to n of ``base`` modulo PRIME."""
+    have = _POWERS.get(int(base))
+    if have is None or len(have) <= n:
+        have = np.ones(1, np.uint64)
+        step = base
+        while len(have) <= n:  # doubled: the next ones are those before times one power
+            have = np.concatenate([have, have * step % PRIME])
+            step = step * step % PRIME
+        _POWERS[int(base)] = have
+    return have
+
+
 class _Group:
     """The different texts of a group in a fixed order, and the positions whose long ranks are to be compared."""
 
@@ -173,14 +193,28 @@ class _Group:
                 continue
             # equal strings hold the same sample of least rank, and that one is then repeated
             at = np.flatnonzero((again[np.minimum(np.searchsorted(again, low), len(again) - 1)] == low) & (rest >= self.length))
-            yield i, j, bounds, at, mix(_double(short, SAMPLE, self.length)[at])
+            yield i, j, bounds, at, self._named(_double(short, SAMPLE, self.length)[at], self.data[self.offs[i] : self.offs[j]], at)
+
+    def _named(self, rank: np.ndarray, part: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Ranks with 32 bits of a second, independent name of the same bytes: a polynomial in them modulo a prime."""
+        out = np.empty(len(rank), NAME)
+        out["rank"] = mix(rank)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        weights = _prime_powers(len(part), BASE)
+        # the sum of byte * power, reduced often enough to stay below 2 ** 64
+        for lo in range(0, len(part), 1 << 15):
+            some = part[lo : lo + (1 << 15)].astype(np.uint64) + U64(1)
+            sums[lo + 1 : lo + 1 + len(some)] = (sums[lo] + np.cumsum(some * weights[lo : lo + len(some)])) % PRIME
+        value = (sums[at + self.length] + PRIME - sums[at]) % PRIME
+        out["check"] = (value * _prime_powers(len(part), INVERSE)[at] % PRIME).astype(np.uint32)  # as if it began at 0
+        return out
 
 
 def _compare(length: int, buckets: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         found = [x for *_, x in _Group(left, right, length).steps()] if left.num_rows else []
-        rank = np.concatenate(found or [np.zeros(0, np.uint64)])
-        bucket = _bucket(rank, buckets)
+        rank = np.concatenate(found or [np.zeros(0, NAME)])
+        bucket = _bucket(rank["rank"], buckets)
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         held = np.split(rank[order], edges[1:]) if len(edges) else []
@@ -196,10 +230,11 @@ def _bucket(rank: np.ndarray, buckets: int) -> np.ndarray:
 
 def _repeated(part: pa.Table) -> pa.Table:
     """For each list of ranks in a bucket a bit by rank: whether it occurs elsewhere in the bucket."""
-    lists = [np.frombuffer(x, np.uint64) for x in part.column("ranks").to_pylist()]
+    lists = [np.frombuffer(x, NAME) for x in part.column("ranks").to_pylist()]
     rank = np.concatenate(lists)
-    order = np.argsort(rank)
-    same = rank[order][1:] == rank[order][:-1]
+    order = np.lexsort((rank["check"], rank["rank"]))
+    rank = rank[order]
+    same = (rank["rank"][1:] == rank["rank"][:-1]) & (rank["check"][1:] == rank["check"][:-1])
     twice = np.zeros(len(rank), np.bool_)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -215,7 +250,7 @@ def _remove(length: int, buckets: int):
             masks = right.filter(pa.compute.is_valid(right.column("bucket")))
             group = _Group(left, known, length)
             steps = list(group.steps())
-            rank = np.concatenate([x for *_, x in steps] or [np.zeros(0, np.uint64)])
+            rank = np.concatenate([x for *_, x in steps] or [np.zeros(0, NAME)])["rank"]
             bucket = _bucket(rank, buckets)
             order = np.argsort(bucket, kind="stable")
             sizes = dict(zip(*np.unique(bucket, return_counts=True), strict=True))
@@ -258,9 +293,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     empty; texts shorter than ``length`` lose nothing; of equal texts of that length each loses all. Null and
     repeated keys are values like others; other columns are ignored; an empty table gives an empty table.
 
-    Ranks are 64-bit names, so that two different strings are taken for equal with a probability of pairs /
-    2**64. Equal texts are carried once for each batch that reads them, with a count. Samples are sorted by
-    rank as rows (about one for each 137 bytes); ranks for the whole length travel packed, 8 bytes each, only
+    What is removed is decided by names of 96 bits (two independent hashes), so that two different strings are
+    taken for equal with a probability of pairs / 2**96; the 64-bit ranks of samples only choose what is compared. Equal texts are carried once for each batch that reads them, with a count. Samples are sorted by
+    rank as rows (about one for each 137 bytes); ranks for the whole length travel packed, 12 bytes each, only
     from texts and places whose sample of least rank is repeated, and come back as bits. No group of equal ranks is
     gathered but within a bucket of ranks, whose size the number of buckets bounds unless one string makes up
     most of the input. Each step's input is written or recomputed from written tables, so lost executors cost
