@@ -94,7 +94,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         pipeline.index_directory(a.directory, extensions=a.extension, exclude=a.exclude, kind=a.type).show(truncate=False)
         return
     if a.verb == "learn":
-        texts = files.read(spark, a.directory).select(files.decoded(files.F.col("content")).alias("text"))
+        texts = files.corpus_texts(files.read(spark, a.directory)).select("text")
         learned = LearnedEmbedder(Config(n_dimensions=a.dimensions, clustering=a.clustering)).fit(texts)
         learned.save(spark, a.out)
         learned.info(spark).select("id", "name", "document_frequency", "coherence").show(20, truncate=False)

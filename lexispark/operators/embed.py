@@ -6,9 +6,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
@@ -297,6 +298,39 @@ EMBEDDERS: dict[str, Callable] = {"hybrid": hybrid, "tfidf": TFIDFEmbedder, "has
 
 
 def create_embedder(kind: str, vocabulary: Vocabulary, **kw):
+    """An embedder by name. Options that belong to another kind are left out, so one set of options serves all."""
     if kind not in EMBEDDERS:
         raise ValueError(f"unknown embedder {kind!r}; there are {', '.join(EMBEDDERS)}")
-    return EMBEDDERS[kind](vocabulary, **kw)
+    make = EMBEDDERS[kind]
+    names = {"hybrid": {"text_embedder", "n_features", "left_weight", "right_weight"}, "learned": {"config", "dimensions"}, "learned_hybrid": {"n_features", "config", "dimensions"}}.get(kind)
+    names = names or {f.name for f in fields(make)} - {"vocabulary", "terms", "average"}
+    return make(vocabulary, **{k: v for k, v in kw.items() if k in names})
+
+
+def save_state(embedder, path: str) -> None:
+    """Write what an embedder has been fitted to, so that it need not see the corpus again; nothing for those without."""
+    for i, part in enumerate([embedder.left, embedder.right] if isinstance(embedder, Concatenated) else [embedder]):
+        if getattr(part, "terms", None) is not None:
+            part.terms.withColumn("_average", F.lit(float(getattr(part, "average", 0.0)))).write.mode("overwrite").parquet(f"{path}/{i}")
+        elif getattr(part, "dimensions", None) and hasattr(part, "save"):
+            part.save(SparkSession.active(), f"{path}/{i}")
+
+
+def load_state(spark: SparkSession, embedder, path: str) -> bool:
+    """Give an embedder what :func:`save_state` wrote; whether it is fitted now."""
+    for i, part in enumerate([embedder.left, embedder.right] if isinstance(embedder, Concatenated) else [embedder]):
+        if hasattr(part, "terms"):
+            try:
+                terms = spark.read.parquet(f"{path}/{i}")
+            except AnalysisException:
+                return False
+            part.terms = terms.drop("_average")
+            if hasattr(part, "average"):
+                row = terms.select("_average").first()
+                part.average = row[0] if row else 1.0
+        elif hasattr(part, "save"):
+            try:
+                part.__dict__.update(type(part).load(spark, f"{path}/{i}").__dict__)
+            except AnalysisException:
+                return False
+    return True

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexispark.operators import index
-from lexispark.operators.embed import create_embedder
+from lexispark.operators.embed import create_embedder, load_state, save_state
 from lexispark.plans import search
 from lexispark.sources import files
 from lexispark.sources.vocabulary import Vocabulary
@@ -19,10 +19,12 @@ class Pipeline:
     """Files are indexed under ``path``; searches read what is there.
 
     ``embedder`` names one of the embedders (None for concepts only); ``embed`` is a function from a text
-    column to a vector column that is used instead.
+    column to a vector column that is used instead. ``progress`` is called with the name of each step of an
+    indexing run that is done, its number and the number of steps.
     """
 
-    def __init__(self, spark: SparkSession, vocabulary: Vocabulary, path: str, embedder: str | None = "hash", embed: Callable[[Column], Column] | None = None, **options):
+    def __init__(self, spark: SparkSession, vocabulary: Vocabulary, path: str, embedder: str | None = "hash", embed: Callable[[Column], Column] | None = None, progress: Callable[[str, int, int], None] | None = None, **options):
+        self.progress = progress
         self.spark, self.vocabulary, self.path, self.kind, self.options, self.embed = spark, vocabulary, path, embedder, options, embed
         self.embedder = create_embedder(embedder, vocabulary, **options) if embedder else None
         self._corpus: DataFrame | None = None
@@ -34,6 +36,13 @@ class Pipeline:
     def fit_embedder(self, texts: DataFrame, text: str = "text") -> None:
         self.embedder.fit(texts, text)
 
+    def _done(self, step: str, number: int) -> None:
+        if self.progress is not None:
+            self.progress(step, number, 4)
+
+    def parser_info(self) -> list[dict]:
+        return files.parser_info()
+
     def _embedded(self, chunks: DataFrame) -> DataFrame:
         if self.embed is not None:
             return chunks.withColumn("embedding", self.embed(F.col("embedding_text")))
@@ -55,20 +64,27 @@ class Pipeline:
         chunks = chunks.dropDuplicates(["chunk_id"])
         chunks.write.mode("append" if add else "overwrite").parquet(f"{self.path}/parsed")
         parsed = self.spark.read.parquet(f"{self.path}/parsed").dropDuplicates(["chunk_id"])
+        self._done("parsed", 1)
         if self.embedder is not None and hasattr(self.embedder, "terms") and self.embedder.terms is None or getattr(self.embedder, "dimensions", None) == []:
             self.embedder.fit(parsed, "embedding_text")  # corpus statistics come from what is indexed
+        if self.embedder is not None:
+            save_state(self.embedder, f"{self.path}/embedder")
+            load_state(self.spark, self.embedder, f"{self.path}/embedder")  # and are read from there, not computed again
+        self._done("fitted", 2)
         index.save(self._embedded(parsed), self.path)
+        self._done("embedded", 3)
         manifest = {"embedder": self.kind, "options": self.options, "vocabulary": self.vocabulary.to_rows()}
         self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest")
+        self._done("described", 4)
         per = parsed.groupBy("path", "source_type").agg(F.count("*").alias("chunks"))
         return found.select("path", "source_type").join(per, ["path", "source_type"], "left").join(errors, "path", "left").select("path", "source_type", F.coalesce("chunks", F.lit(0)).alias("chunks"), "error")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, embed: Callable | None = None) -> Pipeline:
-        """A pipeline over an index that was saved; an embedder that is fitted is fitted again on the indexed texts."""
+        """A pipeline over an index that was saved, with what its embedder was fitted to; one without is fitted on the indexed texts."""
         manifest = json.loads(spark.read.text(f"{path}/manifest").first().value)
         out = cls(spark, Vocabulary(manifest["vocabulary"]), path, manifest["embedder"], embed, **manifest["options"])
-        if out.embedder is not None:
+        if out.embedder is not None and not load_state(spark, out.embedder, f"{path}/embedder"):
             out.embedder.fit(spark.read.parquet(f"{path}/parsed").dropDuplicates(["chunk_id"]), "embedding_text")
         return out
 

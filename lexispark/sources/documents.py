@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import io
 import re
 import zipfile
@@ -159,21 +161,50 @@ def _docx(content: bytes) -> list[dict]:
     return out + tables
 
 
+def pdf_library() -> str | None:
+    """The PDF library that is installed, the first of those that can be used."""
+    return next((name for name in ("pdfplumber", "fitz", "pypdf") if importlib.util.find_spec(name)), None)
+
+
 def _pdf(content: bytes) -> list[dict]:
-    """A section for each page, with whichever PDF library is installed."""
-    for name in ("pdfplumber", "fitz", "pypdf"):
-        try:
-            library = __import__(name)
-        except ImportError:
-            continue
-        if name == "pdfplumber":
-            pages = [p.extract_text() or "" for p in library.open(io.BytesIO(content)).pages]
-        elif name == "fitz":
-            pages = [p.get_text() for p in library.open(stream=content, filetype="pdf")]
-        else:
-            pages = [p.extract_text() or "" for p in library.PdfReader(io.BytesIO(content)).pages]
-        return [{"title": None, "content": p, "page_number": i, "section_level": 0, "element_type": "paragraph"} for i, p in enumerate(pages, 1) if p.strip()]
-    raise RuntimeError("no PDF library is installed")
+    """Sections page by page, with whichever PDF library is installed: paragraphs under the heading before them and tables, blocks of text, or whole pages."""
+    name = pdf_library()
+    if name is None:
+        raise RuntimeError("no PDF library is installed")
+    library, out = importlib.import_module(name), []
+
+    def add(title: str | None, said: str, page: int, kind: str = "paragraph") -> None:
+        if said.strip():
+            out.append({"title": title, "content": said.strip(), "page_number": page, "section_level": 0, "element_type": kind})
+
+    if name == "pdfplumber":
+        for i, page in enumerate(library.open(io.BytesIO(content)).pages, 1):
+            title, held = None, []
+            for line in (page.extract_text() or "").split("\n"):
+                if _is_heading(line.strip()):
+                    add(title, "\n".join(held), i)
+                    title, held = line.strip(), []
+                else:
+                    held.append(line)
+            add(title, "\n".join(held), i)
+            for rows in page.extract_tables() or []:
+                add(title, "\n".join(" | ".join(c or "" for c in row) for row in rows if row), i, "table")
+    elif name == "fitz":
+        for i, page in enumerate(library.open(stream=content, filetype="pdf"), 1):
+            for block in page.get_text("blocks"):
+                if len(block) < 7 or block[6] == 0:  # text, no image
+                    add(None, block[4], i)
+    else:
+        for i, page in enumerate(library.PdfReader(io.BytesIO(content)).pages, 1):
+            add(None, page.extract_text() or "", i)
+    return out
+
+
+def _is_heading(t: str) -> bool:
+    """As ``text.heads``, outside of Spark."""
+    if not 0 < len(t) < 100 or t[-1] in ".,;:":
+        return False
+    return t.isupper() or bool(re.match(r"\d+\.?\s+\w", t) or re.fullmatch(r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*", t) or (len(t) < 80 and re.fullmatch(r"[A-Z0-9\s\-:]+", t)))
 
 
 def _binary_sections(parse, content: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,10 +118,40 @@ def sections(df: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+#: Parsers of further kinds of source: a function from (path, content) and a vocabulary to rows with some of the columns of ``CHUNK``.
+PARSERS: dict[str, Callable[[DataFrame, Vocabulary], DataFrame]] = {}
+
+
+def register_parser(kind: str, extensions: list[str], parse: Callable[[DataFrame, Vocabulary], DataFrame]) -> None:
+    """A parser of one's own for files with these extensions, which no longer belong to any other kind."""
+    extensions = [e.lower() for e in extensions]
+    for own in EXTENSIONS.values():
+        own[:] = [e for e in own if e not in extensions]
+    EXTENSIONS[kind] = extensions
+    PARSERS[kind] = parse
+
+
+def parser_info() -> list[dict]:
+    """Kinds of source with their extensions, whether a parser of one's own reads them, and which PDF library is there."""
+    return [{"kind": k, "extensions": list(e), "custom": k in PARSERS, "pdf_library": documents.pdf_library() if k == "document" else None} for k, e in EXTENSIONS.items()]
+
+
+def corpus_texts(files: DataFrame) -> DataFrame:
+    """(path, source_type, text) to learn from: what each kind of file says, without markup and without binary noise."""
+    found = sections(files.where("source_type = 'document'")).where("error IS NULL")
+    out = found.select("path", F.lit("document").alias("source_type"), F.array_join(F.transform("sections", lambda s: F.concat_ws("\n", F.nullif(s["title"], F.lit("")), s["content"])), "\n\n").alias("text"))
+    plain = files.where("source_type <> 'document'").select("path", "source_type", decoded(F.col("content")).alias("text"))
+    said = logs.entries(plain.where("source_type = 'log'").select("path", "text")).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("line_number", "message"))).alias("m"))
+    said = said.select("path", F.lit("log").alias("source_type"), F.array_join(F.transform("m", lambda x: x["message"]), "\n").alias("text"))
+    return out.unionByName(plain.where("source_type <> 'log'")).unionByName(said).where("text <> ''")
+
+
 def chunks(files: DataFrame, vocabulary: Vocabulary, **log_options) -> tuple[DataFrame, DataFrame]:
     """Chunks of (path, source_type, content), and (path, error) of files that couldn't be read."""
     of = lambda kind: files.where(F.col("source_type") == kind)
     plain = lambda kind: of(kind).select("path", decoded(F.col("content")).alias("text"))
     found = sections(of("document"))
     out = code_chunks(plain("code"), vocabulary).unionByName(document_chunks(found, vocabulary)).unionByName(log_chunks(plain("log"), vocabulary, **log_options))
+    for kind, parse in PARSERS.items():
+        out = out.unionByName(_annotated(parse(of(kind).select("path", "content"), vocabulary), vocabulary, kind))
     return out, found.where("error IS NOT NULL").select("path", "error")

@@ -14,8 +14,14 @@ BATCH = 1000
 
 
 def read_lines(spark: SparkSession, path: str, max_files: int = 10) -> DataFrame:
-    """(path, line): a stream of the lines of files that appear under ``path``."""
-    return spark.readStream.option("maxFilesPerTrigger", max_files).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line"))
+    """(path, line_number, line): a stream of the numbered lines of files that appear under ``path``.
+
+    A file is read whole, by one task, since only its beginning tells the number of a line; its lines are rows from
+    there on. Files beyond what a task can hold are to be rotated, as logs are.
+    """
+    files = spark.readStream.option("maxFilesPerTrigger", max_files).text(path, wholetext=True)
+    lines = F.posexplode(F.split(F.regexp_replace("value", "\\r?\\n\\z", ""), "\\r?\\n", -1)).alias("_n", "line")
+    return files.select(F.col("_metadata.file_path").alias("path"), lines).select("path", (F.col("_n") + 1).cast("long").alias("line_number"), "line")
 
 
 def batched(df: DataFrame, size: int = BATCH) -> DataFrame:

@@ -157,3 +157,75 @@ def test_stream(spark, tmp_path):
     assert sorted((r.batch, r.entry_count, r.has_error) for r in found) == [(0, 2, True), (1, 1, False)]
     sessions = stream.sessions(spark.createDataFrame([("2024-01-01 00:00:00 trace_id=aaaaaaaa1 x",), ("2024-01-01 00:05:00 trace_id=aaaaaaaa1 ERROR",), ("2024-01-01 01:00:00 trace_id=aaaaaaaa1",)], "line string"))
     assert sorted((r.entry_count, r.has_error) for r in sessions.collect()) == [(1, False), (2, True)]
+
+
+def test_stream_of_files(spark, tmp_path):
+    """Files to chunks, end to end: lines keep their numbers."""
+    from lexispark.streaming import logs as S
+
+    (tmp_path / "in").mkdir()
+    lines = [f"2024-01-01 00:00:0{i % 10} INFO trace_id=trace-{i % 3:08d} said {i}" for i in range(25)]
+    (tmp_path / "in" / "a.log").write_text("\n".join(lines) + "\n")
+    (tmp_path / "in" / "b.log").write_bytes(b"one\r\n\r\nERROR three")
+    got = []
+    q = S.write_chunks(S.read_lines(spark, str(tmp_path / "in")), lambda df, n: got.extend(df.collect()), str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    a = [r for r in got if r.path.endswith("a.log")]
+    assert sorted((r.trace_id, r.entry_count, r.line_start, r.line_end) for r in a) == [("trace-00000000", 9, 1, 25), ("trace-00000001", 8, 2, 23), ("trace-00000002", 8, 3, 24)]
+    b = [r for r in got if r.path.endswith("b.log")]
+    assert sorted((r.line_start, r.text, r.has_error) for r in b) == [(1, "one", False), (3, "ERROR three", True)]
+
+
+def test_corpus_and_hooks(spark, tmp_path):
+    import zipfile
+
+    d = tmp_path / "d"
+    d.mkdir()
+    with zipfile.ZipFile(d / "a.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Wire transfer rules for everybody</w:t></w:r></w:p></w:body></w:document>')
+    (d / "b.md").write_text("# Head\nsettlement of the wire\n")
+    (d / "c.log").write_text('{"msg": "mail sent", "level": "info"}\n{"msg": "mail lost", "level": "error"}\n')
+    (d / "e.tal").write_text("PROC p;\nEND;")
+    texts = {r.path.rsplit("/", 1)[1]: r.text for r in files.corpus_texts(files.read(spark, str(d))).collect()}
+    assert texts["b.md"] == "Head\nsettlement of the wire" and texts["c.log"] == "mail sent\nmail lost" and texts["e.tal"] == "PROC p;\nEND;"
+    assert "Wire transfer rules" in texts["a.docx"] and "PK" not in texts["a.docx"]
+    before = {k: list(v) for k, v in files.EXTENSIONS.items()}
+    try:
+        files.register_parser("note", [".note"], lambda df, v: df.select("path", files.decoded(F.col("content")).alias("text"), F.concat(F.lit("note_"), F.md5("content")).alias("chunk_id"), F.lit("note").alias("semantic_type")))
+        (d / "x.note").write_text("wire me")
+        seen = []
+        p = Pipeline(spark, VOCABULARY, str(tmp_path / "index"), "tfidf", progress=lambda *a: seen.append(a), max_features=50, n_features=7)
+        p.index_directory(str(d)).collect()
+        assert [s[1:] for s in seen] == [(1, 4), (2, 4), (3, 4), (4, 4)]
+        assert any(i["kind"] == "note" and i["custom"] for i in p.parser_info())
+        again = Pipeline.load(spark, str(tmp_path / "index"))
+        rows = lambda x: [(r.chunk_id, round(r.combined_score, 9)) for r in x.search("wire mail", 5).orderBy("rank").collect()]
+        assert rows(again) == rows(p) and any(k.startswith("note_") for k, _ in rows(p))
+        assert sorted(again.embedder.terms.collect()) == sorted(p.embedder.terms.collect())
+    finally:
+        files.PARSERS.clear()
+        files.EXTENSIONS.clear()
+        files.EXTENSIONS.update(before)
+
+
+def test_pdf_libraries(monkeypatch):
+    """Against stand-ins for two of the optional libraries."""
+    import types
+
+    class Page:
+        def extract_text(self):
+            return "lost line\nOVERVIEW\nbody one\nbody two"
+
+        def extract_tables(self):
+            return [[["a", None], ["b", "c"]]]
+
+        def get_text(self, kind):
+            return [(0, 0, 1, 1, " first block ", 0, 0), (0, 0, 1, 1, "image", 1, 1)]
+
+    monkeypatch.setattr(documents, "pdf_library", lambda: "pdfplumber")
+    monkeypatch.setattr(documents.importlib, "import_module", lambda name: types.SimpleNamespace(open=lambda *a, **k: types.SimpleNamespace(pages=[Page()])))
+    got = [(s["title"], s["content"], s["element_type"], s["page_number"]) for s in documents._pdf(b"")]
+    assert got == [(None, "lost line", "paragraph", 1), ("OVERVIEW", "body one\nbody two", "paragraph", 1), ("OVERVIEW", "a | \nb | c", "table", 1)]
+    monkeypatch.setattr(documents, "pdf_library", lambda: "fitz")
+    monkeypatch.setattr(documents.importlib, "import_module", lambda name: types.SimpleNamespace(open=lambda **k: [Page()]))
+    assert [(s["content"], s["page_number"]) for s in documents._pdf(b"")] == [("first block", 1)]
