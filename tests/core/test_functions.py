@@ -201,3 +201,22 @@ def test_batch_topk(spark):
     for j in range(12):
         s = v @ v[j] / (np.linalg.norm(v, axis=1) * np.linalg.norm(v[j]) + 1e-8)
         assert [got[j, k] for k in range(1, 5)] == sorted(range(300), key=lambda i: (-s[i], i))[:4]
+
+
+def test_long_texts_without_blanks(spark):
+    """A megabyte without a blank, or of blanks only inside, neither ends the JVM nor takes quadratic time; and keywords are those of Python."""
+    long = ["a_" * 3000 + "a", "Ab" * 20_000, "A_" * 5000 + "A", "a-" * 5000 + "a1", "x" * 1_000_000, "a_" * 500_000 + "a", "Ab" * 500_000, "a-b-c1 d-e FooBar fooBar x_y_1 NASA_X", "a" + " " * 1_000_000 + "b", "<" * 1_000_000]
+    got = column(spark, long, T.extract_keywords, "string")
+
+    def keywords(text):
+        found = {}
+        for p in T.KEYWORDS:
+            for m in re.finditer(p, text):
+                found.setdefault(m[0].lower(), m[0])
+        return list(found.values())
+
+    assert got == [keywords(t) for t in long]
+    assert column(spark, long, T.strip) == long
+    assert [len(x) for x in column(spark, long, T.strip_tags)][-2:] == [3, 1_000_000]
+    for f in (T.sanitize_for_llm, T.tokenize, T.extract_tal_keywords, T.is_heading):
+        assert len(column(spark, long, f)) == len(long)
