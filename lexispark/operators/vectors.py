@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +18,8 @@ BLOCK = 4096
 def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", embedding: str = "embedding", query_id: str = "query_id") -> DataFrame:
     """(query_id, id, score, rank): for each query the k vectors of greatest cosine, equal scores by id.
 
-    A task multiplies its vectors with a block of queries and passes on k rows for each query, so a row for
-    each pair never exists. ``queries`` has query_id and the embedding column. Empty vectors score 0.
+    A task multiplies its vectors with a block of queries and passes on k rows for each query, however many
+    vectors tie, so a row for each pair never exists. ``queries`` has query_id and the embedding column. Empty vectors score 0.
     """
     kind, qkind = vectors.schema[id].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
     held = queries.select(query_id, embedding).collect()  # the stated set of queries
@@ -38,17 +40,22 @@ def batch_topk(vectors: DataFrame, queries: DataFrame, k: int, id: str = "vec_id
 def _best(ids: list, q: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.linalg.norm(q, axis=1)
+        held: list[list[tuple]] = [[] for _ in ids]  # of each query the k best so far, as keys to sort by: the first is the best
         for batch in batches:
             if not batch.num_rows:
                 continue
             own = batch.column(0).to_pylist()
             v = np.array(batch.column(1).to_pylist(), float)
             score = (v @ q.T) / (np.outer(np.linalg.norm(v, axis=1), size) + 1e-8)
-            rows: list[tuple] = []
-            for j, query in enumerate(ids):
+            for j, best in enumerate(held):
                 column = score[:, j]
-                least = np.partition(column, max(0, len(own) - k))[max(0, len(own) - k)] if len(own) > k else -np.inf
-                rows += [(query, own[i], float(column[i])) for i in np.flatnonzero(column >= least)]
+                least = np.partition(column, len(own) - k)[len(own) - k] if len(own) > k else -np.inf
+                if len(best) == k:
+                    least = max(least, -best[-1][0])
+                some = ((-float(column[i]), own[i] is not None, own[i]) for i in np.flatnonzero(column >= least))
+                held[j] = heapq.nsmallest(k, itertools.chain(best, some))
+        rows = [(query, own, -s) for query, best in zip(ids, held, strict=True) for s, _, own in best]
+        if rows:
             a, b, c = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], ["query_id", "id", "score"])
 

@@ -159,6 +159,19 @@ PLACES = f"""{term_stats(9)}, held AS MATERIALIZED (SELECT doc_id, term, string_
 PAIRS = """c AS (SELECT least(a.term, b.term) AS t1, greatest(a.term, b.term) AS t2, count(*) AS cnt FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.term <> b.term
   AND b.pos - a.pos BETWEEN 0 AND 50 AND (b.pos > a.pos OR a.term < b.term) GROUP BY ALL HAVING count(*) >= 2)"""
 
+def told(most: int, least: float) -> str:
+    """The context made of the best ``most`` results of ``least`` or more."""
+    return f"""{WITH_POSTINGS}, top AS (SELECT *, row_number() OVER (ORDER BY round(c, 9) DESC, chunk_id) AS rank FROM {scored()} ORDER BY round(c, 9) DESC, chunk_id LIMIT {most}),
+      x AS (SELECT rank, source_type, path, {strip('text')} AS body, 'Score: ' || printf('%.3f', c) AS score,
+        'Concepts: ' || (SELECT array_to_string(list(DISTINCT canonical ORDER BY canonical)[1:5], ', ') FROM m WHERE m.chunk_id = top.chunk_id AND list_contains({_ASKED}, lower(canonical))) AS concepts,
+        (SELECT flatten(list(caps ORDER BY n)) FROM m WHERE m.chunk_id = top.chunk_id) AS caps FROM top JOIN {CHUNKS} USING (chunk_id) WHERE c >= {least}),
+      y AS (SELECT *, 'Capabilities: ' || nullif(array_to_string(list_filter(caps, lambda v, i: list_position(caps, v) = i)[1:5], ', '), '') AS capabilities FROM x),
+      z AS (SELECT rank, source_type, CASE source_type WHEN 'code' THEN concat_ws(chr(10), chr(10) || '--- File: ' || path || ' ---', score, concepts, capabilities, chr(10) || '```', body, '```')
+        WHEN 'document' THEN concat_ws(chr(10), chr(10) || '--- Document: ' || path || ' ---', score, concepts, '', body) ELSE concat_ws(chr(10), chr(10) || '--- Log: ' || path || ' ---', score, '', body) END AS said FROM y),
+      w AS (SELECT concat_ws(chr(10), {', '.join(f"(SELECT {q(repeat)} || repeat('=', 60) || chr(10) || {q(title)} || chr(10) || repeat('=', 60) || chr(10) || string_agg(said, chr(10) ORDER BY rank) FROM z WHERE source_type = {q(kind)} HAVING count(*) > 0)" for kind, title, repeat in (('code', 'CODE ARTIFACTS', ''), ('document', 'DOCUMENTATION ARTIFACTS', chr(10)), ('log', 'LOG ARTIFACTS', chr(10))))}) AS context)
+      SELECT md5(context) AS context_md5, length(context) AS n_chars FROM w"""
+
+
 ORACLE_SQL = {
     "concept_match": f"""{WITH_DOCS} SELECT doc_id, count(m.n) AS n, coalesce(string_agg(canonical || ':' || written || ':' || s || ':' || (s + length(term)), '|' ORDER BY m.n), '') AS matches
       FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id""",
@@ -201,10 +214,14 @@ ORACLE_SQL = {
       tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
       top AS (SELECT term, row_number() OVER (ORDER BY freq DESC, term) - 1 AS idx, ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1 AS idf FROM (SELECT term, sum(tf) AS freq, count(*) AS df FROM tf GROUP BY term ORDER BY freq DESC, term LIMIT 10000))
       {normal(f"SELECT doc_id, idx, (1 + ln(tf)) * idf * {boost('term')} AS w FROM tf JOIN top USING (term)", 'doc_id, idx', 5)}""",
+    "tfidf_min_df": f"""WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_filter({TOKENS}, lambda y: NOT list_contains({STOP}, y))) AS term FROM documents) GROUP BY ALL),
+      top AS (SELECT term, row_number() OVER (ORDER BY freq DESC, term) - 1 AS idx, ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1 AS idf FROM (SELECT term, sum(tf) AS freq, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 3 ORDER BY freq DESC, term LIMIT 10000))
+      SELECT doc_id, idx, round(tf * idf * {boost('term')}, 5) AS weight FROM tf JOIN top USING (term)""",
     "bm25_weights": f"""WITH t AS (SELECT doc_id, list_filter({TOKENS}, lambda y: NOT list_contains({STOP}, y)) AS t FROM documents), a AS (SELECT avg(len(t)) AS a, count(*) AS n FROM t),
       tf AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS len FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
       {normal(f"SELECT doc_id, term, ln((a.n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / a.a)) * {boost('term')} AS w FROM tf JOIN df USING (term), a", 'doc_id, term', 5)}""",
     "hash_embedding_sparse": normal(hashed(256), "doc_id, idx", 5),
+    "embedding_by_name": normal(hashed(128), "doc_id, idx", 5),
     "concept_embedding": f"{WITH_DOCS} {normal(ACTIVE, 'doc_id, CAST(idx AS BIGINT) AS idx', 6)}",
     "explain_embedding": f"{WITH_DOCS} {normal(ACTIVE, 'doc_id, name', 6)}",
     "hybrid_embedding": f"""{WITH_DOCS}, c AS ({normal(ACTIVE, 'doc_id, CAST(idx AS BIGINT) AS idx', 15)}), h AS ({normal(hashed(64), 'doc_id, idx', 15)})
@@ -243,6 +260,9 @@ ORACLE_SQL = {
     "error_traces": f"SELECT CASE WHEN has_error THEN 'error_trace' ELSE 'transaction' END AS semantic_type, count(*) AS traces, CAST(sum(entry_count) AS BIGINT) AS entries FROM {traces(50)} GROUP BY ALL",
     "last_batch": f"SELECT batch, count(*) AS traces, CAST(sum(entry_count) AS BIGINT) AS entries FROM {traces(50, ', (line_number - 1) // 1000 AS batch', 'batch,')} GROUP BY batch",
     "json_field_extract": f"SELECT upper(event_type) AS level, upper(event_type) IN ({_LEVELS}) AS is_error, count(*) AS n, count(DISTINCT user_id) AS traces, count(DISTINCT props) AS messages FROM events GROUP BY ALL",
+    "json_array_logs": f"""SELECT user_id || '-' || event_id // 10000 AS path, CAST(user_id AS VARCHAR) AS trace_id, count(*) AS entries, count(*) AS last_line,
+      count_if(upper(event_type) IN ({_LEVELS})) AS errors, CAST(sum(length(props)) AS BIGINT) AS n_chars FROM events GROUP BY ALL""",
+    "log_formats": "SELECT event_id, event_id % 4 = 0 AS json_lines, event_id % 4 = 1 AS json_array FROM events",
     "text_logs": f"""WITH f AS (SELECT conv_id, string_agg(upper(role) || ' ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
       l AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM f)
       SELECT CAST(conv_id AS VARCHAR) AS path, count(*) AS entries, max(n) AS last_line, CAST(sum(length({strip('line')})) AS BIGINT) AS n_chars FROM l WHERE {strip('line')} <> '' GROUP BY ALL""",
@@ -250,15 +270,8 @@ ORACLE_SQL = {
     "npmi": f"""WITH {PLACES}, {PAIRS},
       x AS (SELECT t1, t2, cnt, cnt / sum(cnt) OVER () AS j, a.frequency / (SELECT sum(frequency) FROM top) AS p1, b.frequency / (SELECT sum(frequency) FROM top) AS p2 FROM c JOIN top a ON a.term = t1 JOIN top b ON b.term = t2)
       SELECT t1, t2, cnt, round(CASE WHEN j < 1 THEN greatest(0, ln(j / (p1 * p2)) / -ln(j)) ELSE 0 END, 6) AS npmi FROM x""",
-    "llm_context_text": f"""{WITH_POSTINGS}, top AS (SELECT *, row_number() OVER (ORDER BY round(c, 9) DESC, chunk_id) AS rank FROM {scored()} ORDER BY round(c, 9) DESC, chunk_id LIMIT 6),
-      x AS (SELECT rank, source_type, path, {strip('text')} AS body, 'Score: ' || printf('%.3f', c) AS score,
-        'Concepts: ' || (SELECT array_to_string(list(DISTINCT canonical ORDER BY canonical)[1:5], ', ') FROM m WHERE m.chunk_id = top.chunk_id AND list_contains({_ASKED}, lower(canonical))) AS concepts,
-        (SELECT flatten(list(caps ORDER BY n)) FROM m WHERE m.chunk_id = top.chunk_id) AS caps FROM top JOIN {CHUNKS} USING (chunk_id)),
-      y AS (SELECT *, 'Capabilities: ' || nullif(array_to_string(list_filter(caps, lambda v, i: list_position(caps, v) = i)[1:5], ', '), '') AS capabilities FROM x),
-      z AS (SELECT rank, source_type, CASE source_type WHEN 'code' THEN concat_ws(chr(10), chr(10) || '--- File: ' || path || ' ---', score, concepts, capabilities, chr(10) || '```', body, '```')
-        WHEN 'document' THEN concat_ws(chr(10), chr(10) || '--- Document: ' || path || ' ---', score, concepts, '', body) ELSE concat_ws(chr(10), chr(10) || '--- Log: ' || path || ' ---', score, '', body) END AS said FROM y),
-      w AS (SELECT concat_ws(chr(10), {', '.join(f"(SELECT {q(repeat)} || repeat('=', 60) || chr(10) || {q(title)} || chr(10) || repeat('=', 60) || chr(10) || string_agg(said, chr(10) ORDER BY rank) FROM z WHERE source_type = {q(kind)} HAVING count(*) > 0)" for kind, title, repeat in (('code', 'CODE ARTIFACTS', ''), ('document', 'DOCUMENTATION ARTIFACTS', chr(10)), ('log', 'LOG ARTIFACTS', chr(10))))}) AS context)
-      SELECT md5(context) AS context_md5, length(context) AS n_chars FROM w""",
+    "llm_context_text": told(6, 0.0),
+    "llm_context_min_score": told(12, 0.7),
     "learned_term_stats": f"WITH {term_stats(6)} SELECT * FROM stats",
     "extracted_keywords": f"""WITH l AS (SELECT doc_id, {ascii_words("'NASA_X WireTransfer ' || text", '0')} AS t FROM documents),
       k AS (SELECT doc_id, {' || '.join(f"regexp_extract_all(t, '{p}')" for p in T.KEYWORDS)} AS k FROM l),

@@ -163,6 +163,13 @@ def tfidf_weights(spark, sf):
     return model.sparse(df, "doc_id").select("doc_id", F.col("idx").cast("long").alias("idx"), F.round("weight", 5).alias("weight"))
 
 
+def tfidf_min_df(spark, sf):
+    """Plain counts of words that three documents have, neither stemmed nor normalised."""
+    df = documents(spark, sf)
+    model = embed.TFIDFEmbedder(VOCABULARY, min_df=3, use_bigrams=False, use_stemming=False, sublinear_tf=False, normalize=False).fit(df, id="doc_id")
+    return model.sparse(df, "doc_id").select("doc_id", F.col("idx").cast("long").alias("idx"), F.round("weight", 5).alias("weight"))
+
+
 def bm25_weights(spark, sf):
     df = documents(spark, sf)
     return embed.BM25Embedder(VOCABULARY).fit(df, id="doc_id").sparse(df, "doc_id").select("doc_id", "term", F.round("weight", 5).alias("weight"))
@@ -172,6 +179,12 @@ def hash_embedding_sparse(spark, sf):
     return embed.HashEmbedder(VOCABULARY, 256).sparse(documents(spark, sf), "doc_id").select("doc_id", F.col("idx").cast("long").alias("idx"), F.round("weight", 5).alias("weight"))
 
 
+def embedding_by_name(spark, sf):
+    """An embedder made by name, with options that belong to others."""
+    model = embed.create_embedder("hash", VOCABULARY, n_features=128, max_features=7, k1=2.0)
+    return model.sparse(documents(spark, sf), "doc_id").select("doc_id", F.col("idx").cast("long").alias("idx"), F.round("weight", 5).alias("weight"))
+
+
 def concept_embedding(spark, sf):
     return embed.ConceptEmbedder(VOCABULARY).sparse(documents(spark, sf), "doc_id").select("doc_id", F.col("idx").cast("long").alias("idx"), _r("weight", "weight"))
 
@@ -288,6 +301,24 @@ def json_field_extract(spark, sf):
     return out.groupBy("level", "is_error").agg(F.count("*").alias("n"), F.countDistinct("trace_id").alias("traces"), F.countDistinct("message").alias("messages"))
 
 
+def json_array_logs(spark, sf):
+    """Events as JSON arrays, a file for each user and 10,000 events."""
+    path = F.concat_ws("-", F.col("user_id").cast("string"), F.floor(F.col("event_id") / 10_000).cast("string"))
+    record = F.struct("event_id", F.col("event_type").alias("severity"), F.col("user_id").cast("string").alias("traceId"), F.col("props").alias("msg"))
+    files = table(spark, sf, "events").groupBy(path.alias("path")).agg(F.to_json(F.array_sort(F.collect_list(record))).alias("text"))
+    out = logs.entries(files).groupBy("path", "trace_id")
+    return out.agg(F.count("*").alias("entries"), F.max("line_number").cast("long").alias("last_line"), F.count_if("is_error").alias("errors"), F.sum(F.length("message")).alias("n_chars"))
+
+
+def log_formats(spark, sf):
+    """Which format the texts made of all events are taken for: lines, an array, text, lines of both kinds."""
+    props, kind = F.col("props"), F.col("event_id") % 4
+    text = F.when(kind == 0, F.concat_ws("\n", props, props)).when(kind == 1, F.concat(F.lit("["), props, F.lit(","), props, F.lit("]"))).when(kind == 2, F.concat(F.lit("x "), props))
+    text = text.otherwise(F.concat_ws("\n", props, F.lit("a"), F.lit("b"), F.lit("c")))
+    df = table(spark, sf, "events").select("event_id", text.alias("text"))
+    return df.select("event_id", logs.is_json_lines(F.col("text")).alias("json_lines"), logs.is_json_array(F.col("text")).alias("json_array"))
+
+
 def learned_term_stats(spark, sf):
     out = learned.term_statistics(documents(spark, sf), learned.Config(), all_terms=True)
     return out.select("term", "frequency", "doc_frequency", _r("tfidf", "tfidf"))
@@ -343,6 +374,13 @@ def llm_context_text(spark, sf):
     return assist.context(out, 0.0).select(F.md5("context").alias("context_md5"), F.length("context").cast("long").alias("n_chars"))
 
 
+def llm_context_min_score(spark, sf):
+    """The results of a score of 0.7 or more only."""
+    df = chunks(spark, sf)
+    out = search.hybrid_search(df, index.postings(df), VOCABULARY, QUERY, 12, None, None, 0.0, 1.0)
+    return assist.context(out).select(F.md5("context").alias("context_md5"), F.length("context").cast("long").alias("n_chars"))
+
+
 def llm_sanitized(spark, sf):
     return documents(spark, sf).select("doc_id", F.md5(T.sanitize_for_llm(F.concat(F.lit("\x01a\u00a0\n\n\n\nb\u2028"), F.col("text")))).alias("clean_md5"))
 
@@ -385,9 +423,9 @@ QUERIES = {
     for f in (
         concept_search_topk, concept_match, concept_match_all, concept_context, keyword_lookup, concept_postings, capability_counts, capability_search, hybrid_search,
         cross_reference, query_expansion, vector_topk, vector_topk_filtered, batch_vector_topk, cosine_pairs, token_counts, bigram_counts, stem_counts, stopword_filtered,
-        tfidf_weights, bm25_weights, hash_embedding_sparse, concept_embedding, explain_embedding, hybrid_embedding, heading_detection, doc_sections, chunk_text, chunk_ids,
+        tfidf_weights, tfidf_min_df, bm25_weights, hash_embedding_sparse, embedding_by_name, concept_embedding, explain_embedding, hybrid_embedding, heading_detection, doc_sections, chunk_text, chunk_ids,
         html_strip, html_sections, embedding_texts, extracted_keywords, markdown_sections, tal_procedures, log_level_extract, log_trace_group, log_batches, error_traces,
-        json_field_extract, text_logs, last_batch, learned_term_stats, cooccurrence_pairs, npmi, learned_dimensions, kmeans_dimensions, learned_embedding,
-        index_statistics, ranked_concepts, vocabulary_statistics, llm_context_text, llm_sanitized, source_types, source_refs,
+        json_field_extract, json_array_logs, log_formats, text_logs, last_batch, learned_term_stats, cooccurrence_pairs, npmi, learned_dimensions, kmeans_dimensions, learned_embedding,
+        index_statistics, ranked_concepts, vocabulary_statistics, llm_context_text, llm_context_min_score, llm_sanitized, source_types, source_refs,
     )
 }

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +204,16 @@ def test_batch_topk(spark):
         assert [got[j, k] for k in range(1, 5)] == sorted(range(300), key=lambda i: (-s[i], i))[:4]
 
 
+def test_batch_topk_of_equal_vectors():
+    """A task passes on k rows for each query, however many vectors tie and batches it reads; ties go by id, nulls first."""
+    ids = list(range(5000, 0, -1))
+    data = pa.table({"id": pa.array([*ids, None]), "v": pa.array([[1.0, 2.0]] * 5001)})
+    run = vectors._best(["a", "b"], np.array([[1.0, 2.0], [2.0, 1.0]]), 3)
+    out = pa.Table.from_batches(run(iter(data.to_batches(max_chunksize=700))))
+    assert out.column("id").to_pylist() == [None, 1, 2] * 2 and out.column("query_id").to_pylist() == ["a"] * 3 + ["b"] * 3
+    assert not list(run(iter([])))
+
+
 def test_long_texts_without_blanks(spark):
     """A megabyte without a blank, or of blanks only inside, neither ends the JVM nor takes quadratic time; and keywords are those of Python."""
     long = ["a_" * 3000 + "a", "Ab" * 20_000, "A_" * 5000 + "A", "a-" * 5000 + "a1", "x" * 1_000_000, "a_" * 500_000 + "a", "Ab" * 500_000, "a-b-c1 d-e FooBar fooBar x_y_1 NASA_X", "a" + " " * 1_000_000 + "b", "<" * 1_000_000]
