@@ -280,9 +280,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     links = cut(dealt.mapInArrow(released(_verified(similarity)), "h long, links long, root long"), "links")
     roots = components(links, "h", "root").withColumnRenamed("node", "h")
     per = classes.select("h", "n", "lead").join(links.groupBy("h").agg(F.sum("links").alias("links")), "h", "left").join(roots, "h", "left")
-    per = per.withColumn("root", F.coalesce("root", "h"))
-    whole = per.groupBy("root").agg(F.min("lead").alias("class"), F.sum("n").alias("class_size"))
-    per = per.join(whole, "root").select("h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "class", "class_size")
+    per = cut(per.withColumn("root", F.coalesce("root", "h")), "members")
+    whole = cut(per.groupBy("root").agg(F.min("lead").alias("class"), F.sum("n").alias("class_size"), F.count("*").alias("members")), "whole")
+    per = per_key(per, whole, "root", "members").select("h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "class", "class_size")
     done = seen.select("key", "same", "h").join(per, "h", "left")
     return done.select(
         F.col("key").alias(key),
