@@ -126,18 +126,13 @@ def _filtered(marks: np.ndarray):
 
 
 def _marks(ids: DataFrame) -> np.ndarray:
-    """A bit table of the long column ``t1``: FILTER_BITS / 8 bytes from each of at most 4 tasks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, np.bool_)
-        for batch in batches:
-            bits[batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64) % U64(FILTER_BITS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
-
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in ids.select("t1").coalesce(4).mapInArrow(released(run), "bits binary").toLocalIterator():
-        out |= np.frombuffer(bytes(r.bits), np.uint8)
-    return out
+    """A bit table of the long column ``t1``: words of 64 bits, merged in each task before the shuffle; FILTER_BITS / 64 rows at most reach the driver."""
+    at = F.col("t1").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
+    bit = F.expr("shiftleft(1L, cast(t1 & 63 as int))")
+    words = ids.select(F.shiftright(at, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, "<i8")
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return np.packbits(np.unpackbits(out.view(np.uint8), bitorder="little"))
 
 
 #: A name of a string of the threshold's length: two independent hashes, 96 bits in all.
