@@ -66,7 +66,8 @@ def boost(term: str, underscores: bool = False) -> str:
 
 
 def normal(source: str, columns: str, digits: int) -> str:
-    return f"SELECT {columns}, round(CASE WHEN l > 0 THEN w / l ELSE w END, {digits}) AS weight FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS l FROM ({source}))"
+    weight = f"round(CASE WHEN l > 0 THEN w / l ELSE w END, {digits})"  # a sum that cancels out may round to a negative zero here, but not in Spark
+    return f"SELECT {columns}, CASE WHEN {weight} = 0 THEN 0 ELSE {weight} END AS weight FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS l FROM ({source}))"
 
 
 def hashed(n: int) -> str:
@@ -261,7 +262,7 @@ ORACLE_SQL = {
     "last_batch": f"SELECT batch, count(*) AS traces, CAST(sum(entry_count) AS BIGINT) AS entries FROM {traces(50, ', (line_number - 1) // 1000 AS batch', 'batch,')} GROUP BY batch",
     "json_field_extract": f"SELECT upper(event_type) AS level, upper(event_type) IN ({_LEVELS}) AS is_error, count(*) AS n, count(DISTINCT user_id) AS traces, count(DISTINCT props) AS messages FROM events GROUP BY ALL",
     "json_array_logs": f"""SELECT user_id || '-' || event_id // 10000 AS path, CAST(user_id AS VARCHAR) AS trace_id, count(*) AS entries, count(*) AS last_line,
-      count_if(upper(event_type) IN ({_LEVELS})) AS errors, CAST(sum(length(props)) AS BIGINT) AS n_chars FROM events GROUP BY ALL""",
+      CAST(count_if(upper(event_type) IN ({_LEVELS})) AS BIGINT) AS errors, CAST(sum(length(props)) AS BIGINT) AS n_chars FROM events GROUP BY ALL""",
     "log_formats": "SELECT event_id, event_id % 4 = 0 AS json_lines, event_id % 4 = 1 AS json_array FROM events",
     "text_logs": f"""WITH f AS (SELECT conv_id, string_agg(upper(role) || ' ' || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
       l AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM f)
