@@ -7,7 +7,8 @@ a class of their own, within which they are spelled: a model of three bytes in a
 them, tells a likely word from garbage. So every word has a probability of its own, and all of them sum to 1.
 
 Training is distributed: in each round every task starts from the same network, runs mini-batches over masked
-words of all its documents, and Spark averages what the tasks have learned, parameter by parameter.
+words of all its documents, and Spark averages what the tasks have learned, parameter by parameter. The rounds
+together mask every word of every document once.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ KINDS = 64
 INPUTS = 1 + FREQUENT + KINDS
 #: Bytes as the spelling model knows them; 0 is an edge of the word.
 LETTERS = 128
-#: One word in so many is masked for training in each of ROUNDS.
-EVERY, ROUNDS, BATCH = 24, 3, 2048
+#: Each of ROUNDS masks its share of all words, in mini-batches of about BATCH to MOST words.
+ROUNDS, BATCH, MOST = 3, 2048, 1 << 14
+#: Rows of a softmax at a time, so that temporaries stay in cache.
+ROWS = 2048
 _VALUES = folded(table(5))
 _LETTER = np.zeros(256, np.int64)
 _LETTER[0x30:0x3A] = 1 + np.arange(10)
@@ -61,13 +64,18 @@ class Vocabulary:
         self.rare = max(0.0, total - self.counts.sum())
         self.order = np.argsort(self.hash)
         self.sorted = self.hash[self.order]
+        # words by the first 16 bits of their hashes: where they begin, and how many share them at most
+        head = (self.sorted >> U64(48)).astype(np.int64)
+        self.first = np.searchsorted(head, np.arange(1 << 16)).astype(np.int32)
+        self.most = int(np.bincount(head).max()) if len(head) else 0
 
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
         """Rank of each word, FREQUENT for rare ones."""
         out = np.full(len(hashes), FREQUENT, np.int64)
-        if len(self.hash):
-            at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-            known = self.sorted[at] == hashes
+        first = self.first[(hashes >> U64(48)).astype(np.int64)]
+        for k in range(self.most):
+            at = np.minimum(first + k, len(self.sorted) - 1)
+            known = np.flatnonzero(self.sorted[at] == hashes)
             out[known] = self.order[at[known]]
         return out
 
@@ -100,13 +108,12 @@ class Windows:
         # documents with SIDE edges between them, so that a window is a slice
         n, docs = self.found.counts, len(self.found.counts)
         self.place = np.arange(len(symbol)) + SIDE * (1 + np.repeat(np.arange(docs), n))
-        self.line = np.zeros(len(symbol) + SIDE * (docs + 1), np.int32)
+        self.line = np.zeros(len(symbol) + SIDE * (docs + 1), np.uint16)
         self.line[self.place] = symbol
 
     def around(self, at: np.ndarray) -> np.ndarray:
         """Inputs around the words ``at``, a column for each place."""
-        place = self.place[at]
-        return np.stack([self.line[place + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], axis=1)
+        return _around(self.line, self.place[at])
 
     def spelled(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cells of the spelling model that the words ``at`` use, one for each byte and one for the end; and where each word's begin."""
@@ -123,6 +130,10 @@ class Windows:
         return (two * LETTERS + one) * LETTERS + letter, upto
 
 
+def _around(line: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return np.stack([line[place + d] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))]).T
+
+
 SHAPES = {"input": (INPUTS, DIM), "place": (2 * SIDE, DIM), "hidden": (DIM,), "class": (CLASSES + 1, DIM), "class_bias": (CLASSES + 1,), "word": (FREQUENT, DIM), "word_bias": (FREQUENT,)}
 
 
@@ -153,123 +164,153 @@ class Network:
     def hidden(self, around: np.ndarray) -> np.ndarray:
         a = np.tile(self.p["hidden"], (len(around), 1))
         for k in range(2 * SIDE):
-            a += self.p["input"][around[:, k]] * self.p["place"][k]
+            a += np.take(self.p["input"] * self.p["place"][k], around[:, k], axis=0)
         return np.tanh(a, out=a)
 
     def log_probabilities(self, around: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """log P(word | window); for rare words that of being rare."""
-        h, cls = self.hidden(around), rank // CLASS
-        out = _log_softmax(h @ self.p["class"].T + self.p["class_bias"])[np.arange(len(rank)), cls]
-        order, edges = _by_class(cls)
-        h = h[order]
-        for c, lo, hi in edges:
-            own = slice(c * CLASS, (c + 1) * CLASS)
-            at = order[lo:hi]
-            out[at] += _log_softmax(h[lo:hi] @ self.p["word"][own].T + self.p["word_bias"][own])[np.arange(hi - lo), rank[at] % CLASS]
+        order, edges = _by_class(rank // CLASS)
+        h, rank = np.take(self.hidden(around), order, axis=0), rank[order]
+        found = np.zeros(len(rank), h.dtype)
+        for kind, own, target, some in _softmaxes(rank, edges):
+            found[some] += _chances(h[some], self.p[kind][own], self.p[f"{kind}_bias"][own], target)[0]
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def step(self, around: np.ndarray, rank: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-probability of a batch, and its gradient."""
-        n, cls = len(rank), rank // CLASS
-        h = self.hidden(around)
-        logp = _log_softmax(h @ self.p["class"].T + self.p["class_bias"])
-        loss = -float(logp[np.arange(n), cls].sum())
-        dz = np.exp(logp)
-        dz[np.arange(n), cls] -= 1
+        n = len(rank)
+        order, edges = _by_class(rank // CLASS)
+        h, rank, loss = np.take(self.hidden(around), order, axis=0), rank[order], 0.0
         g = {k: np.zeros_like(x) for k, x in self.p.items()}
-        g["class"], g["class_bias"] = dz.T @ h, dz.sum(0)
-        dh = dz @ self.p["class"]
-        order, edges = _by_class(cls)
-        for c, lo, hi in edges:
-            own, at = slice(c * CLASS, (c + 1) * CLASS), order[lo:hi]
-            some = h[at]
-            logp = _log_softmax(some @ self.p["word"][own].T + self.p["word_bias"][own])
-            loss -= float(logp[np.arange(hi - lo), rank[at] % CLASS].sum())
-            dz = np.exp(logp)
-            dz[np.arange(hi - lo), rank[at] % CLASS] -= 1
-            g["word"][own], g["word_bias"][own] = dz.T @ some, dz.sum(0)
-            dh[at] += dz @ self.p["word"][own]
-        da = dh * (1 - h * h)
+        dh = np.zeros_like(h)
+        for kind, own, target, some in _softmaxes(rank, edges):
+            weight, x = self.p[kind][own], h[some]
+            logp, dz, total = _chances(x, weight, self.p[f"{kind}_bias"][own], target)
+            loss -= float(logp.sum())
+            dz *= (1 / total)[:, None]
+            dz[np.arange(len(dz)), target] -= 1
+            g[kind][own] += dz.T @ x
+            g[f"{kind}_bias"][own] += np.ones(len(dz), dz.dtype) @ dz
+            dh[some] += dz @ weight
+        da = np.empty_like(h)
+        da[order] = dh * (1 - h * h)
         g["hidden"] = da.sum(0)
         for k in range(2 * SIDE):
-            seen = self.p["input"][around[:, k]]
-            g["place"][k] = (da * seen).sum(0)
-            order = np.argsort(around[:, k], kind="stable")
+            order = np.argsort(around[:, k].astype(np.uint16), kind="stable")  # of 16 bits, which numpy sorts by radix
             key = around[order, k]
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            g["input"][key[edge]] += np.add.reduceat((da * self.p["place"][k])[order], edge)
+            key, sums = key[edge], np.add.reduceat(np.take(da, order, axis=0), edge)
+            g["place"][k] = (sums * self.p["input"][key]).sum(0)
+            g["input"][key] += sums * self.p["place"][k]
         return loss / n, {k: x / n for k, x in g.items()}
 
-    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.01) -> list[float]:
-        """Adam over mini-batches of (inputs around, rank); the loss of each before its step."""
-        m, v, losses = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, []
+    def train(self, batches: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = 0.01) -> tuple[float, int]:
+        """Adam over mini-batches of (inputs around, rank); the words seen, and the sum of their losses, each before its step."""
+        m, v, total, words = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0.0, 0
         for t, (around, rank) in enumerate(batches, 1):
             loss, g = self.step(around, rank)
-            losses.append(loss)
+            total, words = total + loss * len(rank), words + len(rank)
             for k in self.p:
                 m[k] += 0.1 * (g[k] - m[k])
                 v[k] += 0.01 * (g[k] * g[k] - v[k])
                 self.p[k] -= np.float32(rate / (1 - 0.9**t)) * m[k] / (np.sqrt(v[k] / (1 - 0.99**t)) + np.float32(1e-8))
-        return losses
+        return total, words
+
 
+def _chances(h: np.ndarray, weight: np.ndarray, bias: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log P of the targets under a softmax of each row; its terms, and their sum."""
+    z = h @ weight.T
+    z += bias
+    if np.abs(weight).sum(1).max() + np.abs(bias).max() > 80:  # else no term is too large or too small, as h is a tanh
+        z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), target]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    return own - np.log(total), z, total
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+
+def _softmaxes(rank: np.ndarray, edges: list[tuple[int, int, int]]) -> Iterator[tuple[str, slice, np.ndarray, slice]]:
+    """What words in order of class need, ROWS at a time: the parameters, which of them, the targets among these, and the words."""
+    for lo in range(0, len(rank), ROWS):
+        yield "class", slice(None), rank[lo : lo + ROWS] // CLASS, slice(lo, lo + ROWS)
+    for c, lo, hi in edges:
+        for i in range(lo, hi, ROWS):
+            some = slice(i, min(i + ROWS, hi))
+            yield "word", slice(c * CLASS, (c + 1) * CLASS), rank[some] - c * CLASS, some
 
 
 def _by_class(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order by class, and (class, lo, hi) of the classes of frequent words in it."""
-    order = np.argsort(cls, kind="stable")
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
     edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
     return order, [(c, int(edges[c]), int(edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
 
 
-def masked(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, turn: int, column: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Mini-batches of every EVERY-th word of all documents; each turn masks others."""
-    kept: list[tuple[np.ndarray, np.ndarray]] = []
+def _lines(batches: Iterator[pa.RecordBatch], vocab: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Documents as the network reads them: the inputs of a block of documents, 16 bits each, zeros between documents."""
     for batch in batches:
-        data, offs = utf8(batch.column(column))
+        data, offs = utf8(batch.column(0))
         for i, j in blocks(offs):
-            seen = Windows(data, offs[i : j + 1], vocab)
-            at = np.arange(7 * turn % EVERY, len(seen.rank), EVERY)
-            kept.append((seen.around(at), seen.rank[at]))
-            if sum(len(r) for _, r in kept) >= BATCH:
-                yield tuple(np.concatenate(x) for x in zip(*kept, strict=True))
-                kept = []
-    if kept and (n := sum(len(r) for _, r in kept)):
-        if n >= BATCH // 8:
-            yield tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([Windows(data, offs[i : j + 1], vocab).line.tobytes()], pa.binary())], ["line"])
+
+
+def masked(batches: Iterator[pa.RecordBatch], turn: int, rounds: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Mini-batches of the words that a turn masks; ``rounds`` turns mask each word once, in an order that no pattern of a text follows."""
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    full: list[tuple[np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for x in batch.column(0):
+            line = np.frombuffer(x.as_buffer(), np.uint16)
+            at = np.flatnonzero(line)
+            at = at[np.random.default_rng(len(at)).permutation(len(at))[turn::rounds]]
+            for lo in range(0, len(at), MOST):
+                some = at[lo : lo + MOST]
+                kept.append((_around(line, some), np.minimum(line[some].astype(np.int64) - 1, FREQUENT)))
+                if sum(len(r) for _, r in kept) >= BATCH:
+                    if full:
+                        yield _joined(full)
+                    full, kept = kept, []
+    if full or kept:  # words too few for a step of their own go with the batch before
+        yield _joined(full + kept)
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    around, rank = zip(*parts, strict=True)
+    return np.concatenate(around), np.concatenate(rank)
 
 
 def learn(docs: DataFrame, vocab: Vocabulary, text: str = "text", rounds: int = ROUNDS) -> tuple[Network, list[float]]:
-    """A network trained on all documents, and the mean loss of each round before its steps.
+    """A network trained on every word of all documents, and the mean loss of each round's words before their steps.
 
-    A task returns its parameters times the batches it has seen; the sums go to the driver, a row for each
-    parameter, whatever the number of documents.
+    What the network reads of the documents is written once, two bytes a word, so that all rounds see the same
+    words in the same order. A task returns its parameters times the words it has masked; the sums go to the
+    driver, a row for each parameter, whatever the number of documents.
     """
     net, losses = Network(vocab), []
     size = len(net.flat())
+    known = docs.sparkSession.sparkContext.broadcast(vocab)
+    lines = cut(exact(docs, text).mapInArrow(released(lambda batches: _lines(batches, known.value)), "line binary"), "lines")
     for turn in range(rounds):
-        sent = docs.sparkSession.sparkContext.broadcast((vocab, net.flat()))
+        sent = docs.sparkSession.sparkContext.broadcast(net.flat())
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            vocab, flat = sent.value
-            own = Network(vocab).take(flat)
-            seen = own.train(masked(batches, vocab, turn), 0.01 / (1 + turn))
+            own = Network(known.value).take(sent.value)
+            loss, seen = own.train(masked(batches, turn, rounds), 0.01 / (1 + turn))
             if seen:
-                w = np.append(own.flat().astype(np.float64), [np.mean(seen), 1.0]) * len(seen)
+                w = np.append(own.flat().astype(np.float64) * seen, [loss, seen])
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 2)), pa.array(w)], ["i", "w"])
 
-        got = exact(docs, text).mapInArrow(released(run), "i long, w double").groupBy("i").agg(F.sum("w").alias("w")).toPandas()
-        if not len(got):
-            break
+        got = lines.mapInArrow(released(run), "i long, w double").groupBy("i").agg(F.sum("w").alias("w")).toPandas()
+        sent.unpersist()
+        if not len(got):  # fewer words than rounds: this one's share is empty
+            continue
         w = np.zeros(size + 2)
         w[got["i"].to_numpy(np.int64)] = got["w"].to_numpy()
         net.take(w[:-2] / w[-1])
         losses.append(float(w[-2] / w[-1]))
-        sent.unpersist()
+    drop_cut(lines)
     return net, losses
 
 
@@ -283,8 +324,7 @@ def spelling(docs: DataFrame, vocab: Vocabulary, text: str = "text") -> np.ndarr
             data, offs = utf8(batch.column(0))
             for i, j in blocks(offs):
                 seen = Windows(data, offs[i : j + 1], sent.value)
-                cell, n = np.unique(seen.spelled(np.flatnonzero(seen.rank == FREQUENT))[0], return_counts=True)
-                total[cell] += n
+                np.add.at(total, seen.spelled(np.flatnonzero(seen.rank == FREQUENT))[0], 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["c", "n"])
 
@@ -345,8 +385,8 @@ def score(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFram
     """``docs`` with n_tokens, pll (sum of the log-probabilities of all words, each masked) and mean_pll.
 
     Words are lower-cased runs of ASCII letters, digits and non-ASCII characters. Vocabulary, spelling and
-    training cover all rows, repeated ones as often as they occur: training masks every EVERY-th word of every
-    document in each round, so what it sees grows with the input. Null, empty and wordless texts have a pll of 0
+    training cover all rows, repeated ones as often as they occur: each round masks its share of the words, and
+    the rounds together every word once. Null, empty and wordless texts have a pll of 0
     and a null mean; columns that clash with the added ones, in any case, are replaced; an empty table stays
     empty.
 

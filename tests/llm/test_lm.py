@@ -97,6 +97,35 @@ def test_gradient():
         assert g[k][at] == pytest.approx((more - less) / 2e-5, rel=1e-3, abs=1e-8), k
 
 
+def test_every_word_is_learned(spark):
+    """Rounds together mask each word once, wherever it stands; of small tables too."""
+    rng = random.Random(3)
+    word = lambda i: "pin" if i % 24 == 3 else "hay" if i % 24 == 2 else f"w{rng.randrange(30)}"
+    rows = [(k, " ".join(word(i) for i in range(24 * 300))) for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    vocab = lm.vocabulary(docs)
+    net, losses = lm.learn(docs, vocab)
+    assert len(losses) == lm.ROUNDS
+    seen = lm.Windows(*utf8(pa.array([rows[0][1]])), vocab)
+    pins = np.flatnonzero(seen.found.hash == hash_of("pin"))
+    before, after = (x.log_probabilities(seen.around(pins), seen.rank[pins]).mean() for x in (lm.Network(vocab), net))
+    assert after > before + 1
+
+    few = spark.createDataFrame([(1, "a b c d e"), (2, None), (3, "f g")], "doc_id long, text string")
+    assert len(lm.learn(few, lm.vocabulary(few))[1]) == lm.ROUNDS
+
+    texts = [r[1] for r in rows[:2]] + [None, "one", "!", "zqxj two"]
+    lines = list(lm._lines(iter([pa.record_batch({"text": pa.array(texts * 9)})]), vocab))
+    got = Counter()
+    for turn in range(4):
+        for around, rank in lm.masked(iter(lines), turn, 4):
+            assert len(rank) <= lm.BATCH + lm.MOST
+            got.update(zip(map(tuple, around.tolist()), rank.tolist(), strict=True))
+    want = lm.Windows(*utf8(pa.array(texts * 9)), vocab)
+    at = np.arange(len(want.rank))
+    assert got == Counter(zip(map(tuple, want.around(at).tolist()), want.rank.tolist(), strict=True))
+
+
 def test_held_out(spark):
     """The words around tell more than word frequencies, on documents that weren't seen; shuffled words and garbage score lower."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").where("length(text) < 20000").repartition(4, "doc_id")
