@@ -14,8 +14,15 @@ SIZE, OVERLAP = 1500, 150
 
 def procedures(text: Column) -> Column:
     """array<struct<name,return_type,line_start,line_end,text>>: from each declaration to the next or the end; what stands before the first is lost."""
-    lines = F.split(text, "\n", -1)
-    starts = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("at"), x.alias("line"))), lambda s: s["line"].rlike(PROC))
+    # a lambda's variable is computed once, where an expression inside the lambda would split the file anew for each procedure
+    return F.element_at(F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.element_at(F.transform(F.array(_starts(lines)), lambda starts: _cut(lines, starts)), 1)), 1)
+
+
+def _starts(lines: Column) -> Column:
+    return F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("at"), x.alias("line"))), lambda s: s["line"].rlike(PROC))
+
+
+def _cut(lines: Column, starts: Column) -> Column:
     ends = F.concat(F.slice(F.transform(starts, lambda s: s["at"] - 1), 2, F.size(lines)), F.array(F.size(lines)))
     return F.when(F.size(starts) == 0, F.array().cast("array<struct<name:string,return_type:string,line_start:int,line_end:int,text:string>>")).otherwise(
         F.zip_with(

@@ -1,5 +1,6 @@
 import io
 import json
+import time
 import zipfile
 
 import pytest
@@ -62,6 +63,16 @@ def test_tal(spark):
     assert [r.semantic_type for r in got if r.path == "b.tal"] == ["unknown"]
 
 
+def test_tal_of_a_large_file(spark):
+    """A file is split once, not once for each of its procedures."""
+    n = 20_000
+    text = "! preamble\n" + "\n".join(f"PROC p^{i};\nBEGIN\n CALL q;\nEND;" for i in range(n))
+    df = spark.createDataFrame([("a.tal", text)], "path string, text string")
+    began = time.perf_counter()
+    got = tal.chunks(df).agg(F.count("*"), F.max("line_end"), F.sum(F.length("text"))).first()
+    assert tuple(got) == (n, 4 * n + 1, len(text) - len("! preamble\n") - (n - 1)) and time.perf_counter() - began < 60
+
+
 LINES = [
     '{"timestamp": "2024-01-01T00:00:00", "level": "error", "trace_id": "t1", "message": "a", "error_code": "E1", "n": 0}',
     "not json trace_id=abcdefgh9 ERROR error_code=E2 amount: 12.50 MT103",
