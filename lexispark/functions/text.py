@@ -77,18 +77,30 @@ def hash_term(term: Column, n_features: int) -> tuple[Column, Column]:
     return _hex_mod(F.md5(term), n_features), F.when(even, 1).otherwise(-1)
 
 
-def is_heading(text: Column) -> Column:
+#: Letters whose capital is several letters; SQL leaves them as they are.
+_SEVERAL = "\u0149\u01f0\u0390\u03b0\u0587\u1e96\u1e97\u1e98\u1e99\u1e9a\u1f50\u1f52\u1f54\u1f56" + "".join(map(chr, [*range(0x1F88, 0x1F90), *range(0x1F98, 0x1FA0), *range(0x1FA8, 0x1FB0)])) + (
+    "\u1fb2\u1fb4\u1fb6\u1fb7\u1fbc\u1fc2\u1fc4\u1fc6\u1fc7\u1fcc\u1fd2\u1fd3\u1fd6\u1fd7\u1fe2\u1fe3\u1fe4\u1fe6\u1fe7\u1ff2\u1ff4\u1ff6\u1ff7\u1ffc\ufb00\ufb01\ufb02\ufb03\ufb04\ufb05\ufb06\ufb13\ufb14\ufb15\ufb16\ufb17"
+)
+
+
+def is_heading(text: Column, ascii: bool = False) -> Column:
     """Short paragraphs that look like a heading: capitals, numbered, title case, or capitals with digits."""
-    return F.element_at(F.transform(F.array(strip(text)), heads), 1)
+    return F.element_at(F.transform(F.array(F.btrim(text, F.lit(_BLANK_CHARACTERS.replace("\x0b", ""))) if ascii else strip(text)), lambda t: heads(t, ascii)), 1)
 
 
-def heads(t: Column) -> Column:
-    """As :func:`is_heading`, for a paragraph without blanks around it; long ones are told by their length alone."""
-    upper = (F.upper(t) == t) & (F.lower(t) != t)
-    numbered = t.rlike(r"^(?U)\d+\.?\s+\w")
-    title = t.rlike(r"^[A-Z][a-z]+(?U:\s+[A-Z][a-z]+)*$")
-    capitals = t.rlike(r"^(?U:[A-Z0-9\s\-:])+$") & (F.length(t) < 80)
-    return F.when(F.length(t).between(1, 99), ~t.rlike(r"[.,;:]$") & (upper | numbered | title | capitals)).otherwise(False)
+def heads(t: Column, ascii: bool = False) -> Column:
+    """As :func:`is_heading`, for a paragraph without blanks around it; long ones are told by their length alone.
+
+    ``ascii``: digits, blanks and the letter after a number are ASCII, capitals single letters, as in SQL; else as in Python.
+    """
+    u, blank, word = ("", r"[\t\n\f\r ]", "[0-9A-Za-z_]") if ascii else ("(?U)", r"\s", r"\w")
+    blanks = blank[1:-1] if ascii else blank
+    cased = F.translate(t, _SEVERAL, "") if ascii else t
+    upper = (F.upper(cased) == cased) & (F.lower(t) != t)
+    numbered = t.rlike(rf"^{u}\d+\.?{blank}+{word}")
+    title = t.rlike(rf"^[A-Z][a-z]+({u and '?U:' or '?:'}{blank}+[A-Z][a-z]+)*\z")
+    capitals = t.rlike(rf"^({u and '?U:' or '?:'}[A-Z0-9{blanks}\-:])+\z") & (F.length(t) < 80)
+    return F.when(F.length(t).between(1, 99), ~t.rlike(r"[.,;:]\z") & (upper | numbered | title | capitals)).otherwise(False)
 
 
 def format_table(rows: Column) -> Column:

@@ -28,10 +28,10 @@ def _section(title: Column, content: Column, level: Column | None = None, kind:
     )
 
 
-def text_sections(text: Column) -> Column:
+def text_sections(text: Column, ascii: bool = False) -> Column:
     """Paragraphs under the heading before them; a heading without paragraphs is lost. A fold over the paragraphs of one row."""
     paragraphs = F.filter(F.transform(F.split(text, "\n\n+", -1), T.strip), lambda p: p != "")
-    marked = F.transform(paragraphs, lambda p: F.struct(p.alias("p"), (T.heads(p) & ~F.contains(p, F.lit("\n"))).alias("head")))
+    marked = F.transform(paragraphs, lambda p: F.struct(p.alias("p"), (T.heads(p, ascii) & ~F.contains(p, F.lit("\n"))).alias("head")))
     empty = F.array().cast(f"array<{SECTION}>")
     state = F.struct(F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("body"), empty.alias("out"))
     flush = lambda a: F.when(a["body"].isNotNull(), F.concat(a["out"], F.array(_section(a["title"], a["body"])))).otherwise(a["out"])
