@@ -46,9 +46,11 @@ def statistics(chunks: DataFrame, found: DataFrame) -> DataFrame:
     out = one("total_chunks", F.lit(""), chunks.agg(F.countDistinct("chunk_id").alias("v")))
     if "embedding" in chunks.columns:
         out = out.unionByName(one("vector_store_size", F.lit(""), chunks.agg(F.count("embedding").alias("v"))))
-    out = out.unionByName(one("distinct_keys", F.col("kind"), found.groupBy("kind").agg(F.countDistinct("key").alias("v"))))
-    for kind in ("source_type", "capability"):
-        out = out.unionByName(one(f"chunks_by_{kind}", F.col("key"), found.where(F.col("kind") == kind).groupBy("key").agg(F.countDistinct("chunk_id").alias("v"))))
+    counts = found.groupBy("kind", "key").agg(F.countDistinct("chunk_id").alias("v"))  # one pass over the postings, a row for each key
+    row = lambda metric, name, v: F.struct(metric.alias("metric"), name.alias("name"), v.cast("long").alias("value"))
+    chunks_by = F.when(F.col("kind").isin("source_type", "capability"), F.array(row(F.concat(F.lit("chunks_by_"), F.col("kind")), F.col("key"), F.col("v"))))
+    rows = counts.select(F.inline(F.concat(F.array(row(F.lit("distinct_keys"), F.col("kind"), F.when(F.col("key").isNull(), 0).otherwise(1))), F.coalesce(chunks_by, F.array().cast("array<struct<metric:string,name:string,value:bigint>>")))))
+    out = out.unionByName(rows.groupBy("metric", "name").agg(F.sum("value").alias("value")))
     return out
 
 

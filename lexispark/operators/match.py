@@ -1,6 +1,6 @@
 """Domain concepts in texts: a substring join with a vocabulary, without a join.
 
-The vocabulary travels as one literal; each text is searched for all terms in its own row, so nothing is
+The vocabulary travels with the search; each text is searched for all terms in its own row, so nothing is
 shuffled, and no pair of a text and a term that isn't in it exists as a row.
 """
 
@@ -8,99 +8,131 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.sources.vocabulary import Vocabulary
 
-#: Terms up to which each text is searched term by term inside Spark; beyond, one automaton finds all in a pass.
+#: Terms up to which each text is searched term by term; beyond, one automaton finds all in a pass.
 NATIVE_TERMS = 2000
+#: Texts that are searched together.
+SLICE = 500
 MATCH = "struct<matched_term:string,canonical_term:string,capabilities:array<string>,category:string,start:int,end:int,confidence:double,context:string>"
 
 
-def _terms(vocabulary: Vocabulary) -> Column:
-    one = lambda t, w, e, k: F.struct(F.lit(t).alias("term"), F.lit(w).alias("written"), F.lit(e).alias("e"), F.lit(k).alias("k"), F.lit(len(t)).alias("size"))
-    return F.array(*[one(*x) for x in vocabulary.terms])
+def _info(vocabulary: Vocabulary) -> Column:
+    """What a match says of its term, by the term's number."""
+    one = lambda w, size, e: F.struct(
+        F.lit(w).alias("written"), F.lit(size).alias("size"), F.lit(e.canonical_term).alias("name"), F.lit(e.category).alias("category"), F.array(*map(F.lit, e.capabilities)).cast("array<string>").alias("caps")
+    )
+    return F.array(*[one(w, len(t), vocabulary.entries[e]) for t, w, e, _ in vocabulary.terms])
 
 
-def _owners(vocabulary: Vocabulary) -> Column:
-    """Entries by number."""
-    one = lambda e: F.struct(F.lit(e.canonical_term).alias("name"), F.lit(e.category).alias("category"), F.array(*map(F.lit, e.capabilities)).cast("array<string>").alias("caps"))
-    return F.array(*map(one, vocabulary.entries))
+def _finder(vocabulary: Vocabulary, every: bool):
+    """(term number, start) of the first occurrence of each canonical term, or of every one of each term, in the order that matches are taken.
 
-
-def _automaton(vocabulary: Vocabulary, every: bool):
-    """(term number, start) of the first, or of every, occurrence of each term."""
+    A text is searched for each term by ``str.find``, or beyond ``NATIVE_TERMS`` by an automaton; what is found is held as
+    numbers, a slice of texts at a time.
+    """
     terms = [t for t, *_ in vocabulary.terms]
+    size = np.array([len(t) for t in terms])
+    place = np.empty(len(terms), np.int64)  # of the term among those that end together
+    place[sorted(range(len(terms)), key=lambda i: (-size[i], *vocabulary.terms[i][2:]))] = np.arange(len(terms))
+    names: dict[str, int] = {}
+    owner = np.array([names.setdefault(vocabulary.entries[e].canonical_term.lower(), len(names)) for _, _, e, _ in vocabulary.terms])
+    wide = len(terms) > NATIVE_TERMS
+    numbers: dict[str, list[int]] = {}
+    for i, t in enumerate(terms):
+        numbers.setdefault(t, []).append(i)
+
+    def by_term(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        docs, which, starts = [], [], []
+        for t, own in numbers.items():
+            first = np.array([x.find(t) for x in texts], np.int64)
+            doc = np.flatnonzero(first >= 0)
+            start = first[doc]
+            if every:
+                more_docs, more = [], []
+                for d, at in zip(doc.tolist(), start.tolist(), strict=True):
+                    find = texts[d].find
+                    while (at := find(t, at + 1)) >= 0:
+                        more_docs.append(d)
+                        more.append(at)
+                doc, start = np.append(doc, np.array(more_docs, np.int64)), np.append(start, np.array(more, np.int64))
+            for i in own:
+                docs.append(doc)
+                which.append(np.full(len(doc), i))
+                starts.append(start)
+        return np.concatenate(docs), np.concatenate(which), np.concatenate(starts)
+
+    def by_automaton(texts: list[str], machine) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = []
+        for d, text in enumerate(texts):
+            seen: set[int] = set()
+            for end, own in machine.iter(text):
+                for i in own:
+                    if every or i not in seen:
+                        seen.add(i)
+                        rows.append((d, i, end - len(terms[i]) + 1))
+        return tuple(np.array(rows, np.int64).reshape(-1, 3).T)
 
-    @F.pandas_udf("array<struct<i:int,start:int>>")
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def built():
         import ahocorasick
 
         machine = ahocorasick.Automaton()
-        owners: dict[str, list[int]] = {}
-        for i, t in enumerate(terms):
-            owners.setdefault(t, []).append(i)
-        for t, own in owners.items():
+        for t, own in numbers.items():
             machine.add_word(t, own)
         machine.make_automaton()
-
-        def found(text: str | None) -> list[dict]:
-            out: dict = {}
-            for end, own in machine.iter((text or "").lower()):
-                for i in own:
-                    start = end - len(terms[i]) + 1
-                    out.setdefault((i, start) if every else i, {"i": i, "start": start})
-            return list(out.values())
-
+        return machine
+
+    def found(texts: list[str], machine) -> pa.Array:
+        doc, i, start = by_term(texts) if machine is None else by_automaton(texts, machine)
+        end = start + size[i]
+        if not every:  # the first of each canonical term
+            order = np.lexsort((place[i], end, owner[i], doc))
+            head = np.ones(len(order), np.bool_)
+            head[1:] = (doc[order][1:] != doc[order][:-1]) | (owner[i][order][1:] != owner[i][order][:-1])
+            doc, i, start, end = (x[order[head]] for x in (doc, i, start, end))
+        order = np.lexsort((place[i], end, doc))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))])
+        flat = pa.StructArray.from_arrays([pa.array(i[order], pa.int32()), pa.array(start[order], pa.int32())], ["i", "start"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine = built() if wide else None
         for batch in batches:
-            yield batch.map(found)
+            parts = [found(batch.slice(lo, SLICE).to_pylist(), machine) for lo in range(0, len(batch), SLICE)]
+            yield pa.concat_arrays(parts) if parts else found([], machine)
 
-    return search
+    # not to be pushed into filters, where it would run once more
+    return F.arrow_udf(search, "array<struct<i:int,start:int>>").asNondeterministic()
 
 
-def match_text(df: DataFrame, vocabulary: Vocabulary, text: str = "text", context: int = 50, deduplicate: bool = True, out: str = "domain_matches") -> DataFrame:
+def match_text(df: DataFrame, vocabulary: Vocabulary, text: str = "text", context: int | None = 50, deduplicate: bool = True, out: str = "domain_matches") -> DataFrame:
     """``df`` with the concepts in a text: array of matches, by end, then longest, then vocabulary order.
 
     Terms match anywhere, inside words too, without regard to case. ``deduplicate`` keeps the first match
-    of each canonical term. Spans are in characters, end exclusive; ``context`` characters stand on both sides.
+    of each canonical term. Spans are in characters, end exclusive; ``context`` characters stand on both sides (None: no context).
     """
     if not vocabulary.terms:
         return df.withColumn(out, F.array().cast(f"array<{MATCH}>"))
-    low, terms = F.lower(F.coalesce(F.col(text), F.lit(""))), _terms(vocabulary)
-    if deduplicate and len(vocabulary.terms) <= NATIVE_TERMS:
-        df = df.withColumn("_low", low)
-        placed = F.transform(terms, lambda t: F.struct(F.instr(F.col("_low"), t["term"]).alias("at"), t.alias("t")))
-        hits = F.transform(F.filter(placed, lambda x: x["at"] > 0), lambda x: _hit(x["at"] - 1, x["t"]))
-    else:
-        df = df.withColumn("_low", low).withColumn("_found", _automaton(vocabulary, not deduplicate)(F.col(text)))
-        hits = F.transform("_found", lambda x: _hit(x["start"], F.element_at(terms, x["i"] + 1)))
-    df = df.withColumn("_hits", F.array_sort(hits)).withColumn("_owners", _owners(vocabulary))
-    df = df.withColumn("_hits", F.transform("_hits", lambda h: F.struct(h.alias("h"), F.element_at(F.col("_owners"), h["e"] + 1).alias("o"))))
-    if deduplicate:
-        names = F.transform("_hits", lambda x: F.lower(x["o"]["name"]))
-        df = df.withColumn("_names", names)
-        kept = F.filter("_hits", lambda x, i: F.array_position(F.col("_names"), F.lower(x["o"]["name"])) == i + 1)
-    else:
-        df, kept = df.withColumn("_names", F.lit(None)), F.col("_hits")
-    whole = F.col(text)
+    df = df.withColumn("_found", _finder(vocabulary, not deduplicate)(F.lower(F.coalesce(F.col(text), F.lit("")))))
+    info, whole = _info(vocabulary), F.col(text)
 
     def match(x: Column) -> Column:
-        start, end = x["h"]["start"], x["h"]["end"]
-        begin = F.greatest(F.lit(0), start - context)
+        term = F.element_at(info, x["i"] + 1)
+        start = x["start"]
+        end = start + term["size"]
+        begin = F.greatest(F.lit(0), start - (context or 0))
+        said = F.lit(None).cast("string") if context is None else F.substring(whole, begin + 1, end + context - begin)
         return F.struct(
-            x["h"]["written"].alias("matched_term"), x["o"]["name"].alias("canonical_term"), x["o"]["caps"].alias("capabilities"), x["o"]["category"].alias("category"),
-            start.alias("start"), end.alias("end"), F.lit(1.0).alias("confidence"), F.substring(whole, begin + 1, end + context - begin).alias("context"),
+            term["written"].alias("matched_term"), term["name"].alias("canonical_term"), term["caps"].alias("capabilities"), term["category"].alias("category"),
+            start.alias("start"), end.alias("end"), F.lit(1.0).alias("confidence"), said.alias("context"),
         )
 
-    return df.withColumn(out, F.transform(kept, match)).drop("_low", "_found", "_hits", "_owners", "_names")
-
-
-def _hit(start: Column, t: Column) -> Column:
-    """In the order that matches are taken."""
-    start = start.cast("int")
-    return F.struct((start + t["size"]).alias("end"), (-t["size"]).alias("short"), t["e"].alias("e"), t["k"].alias("k"), start.alias("start"), t["written"].alias("written"))
+    return df.withColumn(out, F.transform("_found", match)).drop("_found")
 
 
 def match_keywords(df: DataFrame, vocabulary: Vocabulary, keywords: str = "keywords", out: str = "keyword_matches") -> DataFrame:

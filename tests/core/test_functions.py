@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,18 @@ def test_matches(spark, texts, monkeypatch):
     assert [r.domain_matches for r in M.match_text(df, Vocabulary([])).collect()] == [[]] * len(some)
 
 
+def test_matching_reads_a_text_once(spark):
+    """The search isn't copied into filters, and what it searches in is lowered outside of its terms: time grows with the text, not with text times terms."""
+    df = spark.createDataFrame([(0, "Licensed Wire the AND " * 3, None)], "i long, text string, other string")
+    some = M.match_text(df, VOCABULARY).select("i", F.explode("domain_matches").alias("m")).select("i", "m.canonical_term", "m.start")
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and "instr(" not in plan
+    texts = spark.range(200).select("id", F.repeat(F.concat(F.lit("Licensed \u00c9mail the AND que de "), F.col("id").cast("string")), 1500).alias("text"))
+    began = time.perf_counter()
+    got = M.match_text(texts, VOCABULARY, context=None, deduplicate=False).select(F.size("domain_matches").alias("n")).agg(F.sum("n")).first()[0]
+    assert got == 200 * 1500 * len(scan(VOCABULARY, "licensed \u00e9mail the and que de ", False)) and time.perf_counter() - began < 60
+
+
 def test_vocabulary(spark, tmp_path):
     v = VOCABULARY
     assert v.owner["ment"] == 3 and v.owner["the and"] == 4 and v.entry_by_term("TION").canonical_term == "tion"
