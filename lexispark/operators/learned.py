@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexispark.operators.embed import dense, normalized, term_totals
+from lexispark.operators import kernels
+from lexispark.operators.embed import dense, normalized
 
 #: Words that are no terms.
 STOPWORDS = [
@@ -62,11 +64,48 @@ def document_terms(text: Column, config: Config) -> Column:
     return F.concat(*out)
 
 
+_WORD, _NONE = "\u00e9", "\u00b7"  # a letter that no pattern takes, and what is neither word nor blank
+
+
+def _as_java(c: str) -> str:
+    """A character for which Python's classes are those of Java's ``(?U)``."""
+    kind = unicodedata.category(c)
+    word = kind[0] == "L" or kind in ("Nl", "Nd", "Mn", "Mc", "Me", "Pc") or c in "\u200c\u200d" or c.isupper() or c.islower()
+    blank = c.isspace() and c not in "\x1c\x1d\x1e\x1f"
+    same = word == (c.isalnum() or c == "_") and blank == c.isspace()
+    return c if same else _WORD if word else _NONE
+
+
+def _term_reader(config: Config):
+    """A function from a lowered text to its terms, as :func:`document_terms`, in Python."""
+    same, changed = set(), {}  # characters met so far
+    one, two, three = (re.compile(p[4:]).findall for p in (UNIGRAM, BIGRAM, TRIGRAM))
+    stop, least, digits = frozenset(STOPWORDS), config.min_term_length, re.compile(r"[0-9]+\Z").match
+    valid = kernels.Held(lambda word: len(word) >= least and word not in stop and not digits(word))
+
+    def terms(low: str) -> list[str]:
+        if not low.isascii() or not same.issuperset(low):
+            for c in set(low).difference(same):
+                if (other := _as_java(c)) == c:
+                    same.add(c)
+                else:
+                    changed[ord(c)] = other
+            low = low.translate(changed) if changed else low
+        found = one(low)
+        out = [w for w, good in zip(found, valid.of(found), strict=True) if good]
+        if config.extract_bigrams:
+            out += [f"{a} {b}" for a, b in two(low) if valid[a] and valid[b]]
+        if config.extract_trigrams:
+            out += [f"{a} {b} {c}" for a, b, c in three(low) if valid[a] and valid[b] and valid[c]]
+        return out
+
+    return terms
+
+
 def term_statistics(df: DataFrame, config: Config, text: str = "text", all_terms: bool = False) -> DataFrame:
     """(term, frequency, doc_frequency, tfidf): the ``max_terms`` of greatest tf-idf, equal ones by name; or all that pass the filters."""
-    rows = df.select(document_terms(F.col(text), config).alias("t"))
-    n = rows.count()
-    stats = term_totals(rows, "t")
+    n = df.count()
+    stats = kernels.term_totals(df, text, lambda: _term_reader(config))
     stats = stats.where((F.col("frequency") >= config.min_term_frequency) & (F.col("doc_frequency") <= n * config.max_term_frequency_pct))
     stats = stats.withColumn("tfidf", (1 + F.log("frequency")) * F.log(F.lit(float(n)) / (1 + F.col("doc_frequency"))))
     return stats if all_terms else stats.orderBy(F.desc(F.round("tfidf", 9)), "term").limit(config.max_terms)
@@ -86,38 +125,67 @@ def occurrences(terms: list[str]):
     return lambda text: [(end - n + 1, i) for end, (i, n) in found.iter(text)] if terms else []
 
 
+def _first_only(at: np.ndarray, group: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which places of a term, sorted by ``group`` (one term of one text), stay when those that overlap an earlier one that stays go."""
+    keep = np.ones(len(at), np.bool_)
+    lap = np.flatnonzero((group[1:] == group[:-1]) & (at[1:] - at[:-1] < size[1:]))
+    if len(lap):
+        some = np.flatnonzero(np.isin(group, group[lap]))
+        last, end = -1, -1
+        for k, g, p, n in zip(some.tolist(), group[some].tolist(), at[some].tolist(), size[some].tolist(), strict=True):
+            if g == last and p < end:
+                keep[k] = False
+            else:
+                last, end = g, p + n
+    return keep
+
+
 def _window_pairs(terms: list[str], window: int):
-    """Counts of pairs of terms that begin within ``window`` characters, summed over a batch of texts before they leave it."""
-    size = np.array([len(t) for t in terms])
+    """Counts of pairs of terms that begin within ``window`` characters, summed over a task before they leave it.
+
+    Texts of a slice stand one after the other, further apart than the window, and are paired together.
+    """
+    size, m = np.array([len(t) for t in terms], np.int64), len(terms)
+    flat = m <= 2000  # sums are held for all pairs, else by pair
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = occurrences(terms)
+        total, held = np.zeros(m * m if flat else 0, np.int64), Counter()
         for batch in batches:
-            counts: list[np.ndarray] = []
-            for text in batch["text"]:
-                at = np.array(finder((text or "").lower()), np.int64).reshape(-1, 2)  # in the order of their ends
-                # of one term's occurrences those that overlap an earlier one don't count
-                own = at[np.lexsort((at[:, 0], at[:, 1]))]
-                lap = np.flatnonzero((own[1:, 1] == own[:-1, 1]) & (own[1:, 0] - own[:-1, 0] < size[own[1:, 1]]))
-                if len(lap):
-                    keep, end, last = np.ones(len(own), np.bool_), -1, -1
-                    for k, (p, t) in enumerate(own.tolist()):
-                        keep[k] = t != last or p >= end
-                        if keep[k]:
-                            last, end = t, p + size[t]
-                    own = own[keep]
-                at = own[np.lexsort((own[:, 1], own[:, 0]))]
-                n = len(at)
-                upto = np.searchsorted(at[:, 0], at[:, 0] + window, side="right") if n else np.zeros(0, np.int64)
-                for d in range(1, int((upto - np.arange(n)).max()) if n else 0):
-                    i = np.flatnonzero(np.arange(n) + d < upto)
-                    a, b = at[i, 1], at[i + d, 1]
-                    pair, c = np.unique((np.minimum(a, b) * len(terms) + np.maximum(a, b))[a != b], return_counts=True)
-                    counts.append(np.stack([pair, c], axis=1))
-            total = np.concatenate(counts or [np.zeros((0, 2), np.int64)])
-            pair, which = np.unique(total[:, 0], return_inverse=True)
-            n = np.bincount(which, total[:, 1], len(pair)).astype(np.int64)
-            yield pd.DataFrame({"a": [terms[x // len(terms)] for x in pair.tolist()], "b": [terms[x % len(terms)] for x in pair.tolist()], "n": n})
+            for lo in range(0, batch.num_rows, kernels.SLICE):
+                found, base, doc = [], [0], []
+                for d, text in enumerate(batch.column(0).slice(lo, kernels.SLICE).to_pylist()):
+                    low = (text or "").lower()
+                    hits = finder(low)
+                    found += hits
+                    doc.append(len(hits))
+                    base.append(base[-1] + len(low) + window + 1)
+                if not found:
+                    continue
+                at = np.array(found, np.int64)
+                place, which, own = at[:, 0] + np.repeat(base[:-1], doc), at[:, 1], np.repeat(np.arange(len(doc)), doc)
+                order = np.lexsort((place, which, own))
+                place, which, own = place[order], which[order], own[order]
+                keep = _first_only(place, own * m + which, size[which])
+                place, which = place[keep], which[keep]
+                order = np.lexsort((which, place))
+                place, which = place[order], which[order]
+                n = len(place)
+                left = np.searchsorted(place, place + window, side="right") - np.arange(n)
+                i, d = np.flatnonzero(left > 1), 1
+                while len(i):
+                    a, b = which[i], which[i + d]
+                    pair = (np.minimum(a, b) * m + np.maximum(a, b))[a != b]
+                    if flat:
+                        total += np.bincount(pair, minlength=m * m)
+                    else:
+                        held.update(dict(zip(*(x.tolist() for x in np.unique(pair, return_counts=True)), strict=True)))
+                    d += 1
+                    i = i[left[i] > d]
+        pair = np.flatnonzero(total) if flat else np.array(list(held), np.int64)
+        n = total[pair] if flat else np.array(list(held.values()), np.int64)
+        name = pa.array(terms, pa.string())
+        yield pa.RecordBatch.from_arrays([name.take(pa.array(pair // m if m else pair)), name.take(pa.array(pair % m if m else pair)), pa.array(n)], ["a", "b", "n"])
 
     return run
 
@@ -128,18 +196,18 @@ def cooccurrence(df: DataFrame, terms: list[str], config: Config, text: str = "t
     ``terms`` are at most ``max_terms``, so pairs are bounded; occurrences are paired inside their text, by
     position in a band, never all with all.
     """
-    held = df.select(F.col(text).alias("text")).mapInPandas(_window_pairs(sorted(terms), config.window), "a string, b string, n long")
+    held = df.select(F.col(text).alias("text")).mapInArrow(_window_pairs(sorted(terms), config.window), "a string, b string, n long")
     return held.groupBy(F.col("a").alias("t1"), F.col("b").alias("t2")).agg(F.sum("n").alias("cnt")).where(F.col("cnt") >= config.min_cooccurrence)
 
 
 def npmi(pairs: DataFrame, stats: DataFrame) -> DataFrame:
     """(t1, t2, cnt, npmi): normalised pointwise mutual information, not below 0."""
-    total = pairs.agg(F.sum("cnt").cast("double").alias("total_pairs"))
+    total = pairs.agg(F.sum("cnt").cast("double")).scalar()  # of the exchange below, so texts are read once
     freq = stats.select("term", "frequency")
     all_freq = stats.agg(F.sum("frequency").cast("double").alias("total_freq"))
     one = pairs.join(freq.select(F.col("term").alias("t1"), F.col("frequency").alias("f1")), "t1").join(freq.select(F.col("term").alias("t2"), F.col("frequency").alias("f2")), "t2")
-    total, all_freq = total.first()[0] or 0.0, all_freq.first()[0] or 0.0
-    joint = F.col("cnt") / F.lit(total)
+    all_freq = all_freq.first()[0] or 0.0
+    joint = F.col("cnt") / total
     pmi = F.log(joint / ((F.col("f1") / F.lit(all_freq)) * (F.col("f2") / F.lit(all_freq))))
     return one.select("t1", "t2", "cnt", F.when(joint < 1, F.greatest(F.lit(0.0), pmi / -F.log(joint))).otherwise(0.0).alias("npmi"))
 
@@ -195,6 +263,21 @@ def cluster_kmeans(similarity: np.ndarray, n: int) -> list[list[int]]:
     return [np.flatnonzero(near == k).tolist() for k in range(n) if (near == k).any()]
 
 
+def _cluster_counts(rows: DataFrame, of: dict[str, int], config: Config) -> DataFrame:
+    """(k, n): how many texts have a term of a cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, n = _term_reader(config), Counter()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, kernels.SLICE):
+                for low in batch.column(0).slice(lo, kernels.SLICE).to_pylist():
+                    n.update({k for t in terms(low) if (k := of.get(t)) is not None})
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.int64()), pa.array(list(n.values()), pa.int64())], ["k", "n"])
+
+    some = rows.select(F.lower("text").alias("low")).where(F.col("low").isNotNull()).mapInArrow(run, "k long, n long")
+    return some.groupBy("k").agg(F.sum("n").alias("n"))
+
+
 @dataclass
 class LearnedEmbedder:
     """Each dimension is a cluster of terms; a text activates it by its heaviest term."""
@@ -216,9 +299,7 @@ class LearnedEmbedder:
         n = max(1, min(wanted, len(terms) // 2))
         clusters = (cluster_hierarchical if config.clustering == "hierarchical" else cluster_kmeans)(sim, n)
         of = {terms[i]: k for k, c in enumerate(clusters) for i in c}
-        listed = rows.sparkSession.createDataFrame(list(of.items()), "t string, k long")  # max_terms rows
-        held_terms = rows.select(F.monotonically_increasing_id().alias("d"), F.explode(document_terms(F.col("text"), config)).alias("t"))
-        df_of = {r.k: r.n for r in held_terms.join(F.broadcast(listed), "t").groupBy("k").agg(F.countDistinct("d").alias("n")).collect()}
+        df_of = {r.k: r.n for r in _cluster_counts(rows, of, config).collect()}
         tfidf, out = {r.term: r.tfidf for r in held}, []
         for k, c in enumerate(clusters):
             top = max(tfidf[terms[i]] for i in c)
