@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
+from lexispark.operators import kernels
 from lexispark.operators.match import match_text
 from lexispark.sources.vocabulary import Vocabulary
 
@@ -41,16 +42,6 @@ def term_counts(rows: DataFrame, id: str) -> DataFrame:
     return rows.groupBy(id, "term").agg(F.count("*").alias("tf"))
 
 
-def term_totals(rows: DataFrame, tokens: str) -> DataFrame:
-    """(term, frequency, doc_frequency) over arrays of tokens: one exploding pass, counts that combine before they are shuffled.
-
-    Sorted, the first of equal tokens of a document is the one that differs from what stands before it.
-    """
-    lead = F.zip_with(F.array_sort(tokens), F.concat(F.array(F.lit(None).cast("string")), F.slice(F.array_sort(tokens), 1, F.greatest(F.size(tokens) - 1, F.lit(0)))), lambda t, before: F.struct(t.alias("term"), F.when(t == before, 0).otherwise(1).alias("first")))
-    some = rows.where(F.size(tokens) > 0).select(F.explode(lead).alias("x"))
-    return some.groupBy("x.term").agg(F.count("*").alias("frequency"), F.sum("x.first").alias("doc_frequency"))
-
-
 def normalized(weights: DataFrame, id: str) -> DataFrame:
     """Weights of each id divided by their length."""
     size = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(id)))
@@ -95,13 +86,25 @@ class HashEmbedder:
         return self.n_features
 
     def sparse(self, df: DataFrame, id: str = "chunk_id", text: str = "text") -> DataFrame:
+        if kernels.unique(df, id):
+            return kernels.hash_rows(df, id, text, *self._options)
         counts = term_counts(occurrences(df, T.remove_stopwords(T.tokenize(F.col(text))), id, self.use_bigrams), id)
         idx, sign = T.hash_term(F.col("term"), self.n_features)
         weight = sign * (1 + F.log("tf")) * _boost(F.col("term"), self.vocabulary, self.domain_boost, underscores=True)
         sums = counts.select(id, idx.alias("idx"), weight.alias("w")).groupBy(id, "idx").agg(F.sum("w").alias("weight"))
         return normalized(sums, id)
 
+    @property
+    def _options(self) -> tuple:
+        return self.n_features, self.use_bigrams, self.vocabulary.domain_terms if self.vocabulary else [], self.domain_boost
+
+    def vector(self, text: Column) -> Column:
+        """The dense vector of a text in its row; null for one without any term."""
+        return kernels.hash_vectors(F.lower(text), *self._options)
+
     def transform(self, df: DataFrame, id: str = "chunk_id", text: str = "text") -> DataFrame:
+        if kernels.unique(df, id):
+            return df.select(id, self.vector(F.col(text)).alias("embedding")).where(F.col("embedding").isNotNull())
         return dense(self.sparse(df, id, text), id, self.n_features)
 
 
@@ -119,6 +122,11 @@ class TFIDFEmbedder:
     use_stemming: bool = True
     terms: DataFrame | None = field(default=None, repr=False)
 
+    @property
+    def _terms(self):
+        options = self.use_bigrams, self.remove_stopwords, self.use_stemming
+        return lambda: kernels.tfidf_terms(*options)
+
     def counts(self, df: DataFrame, id: str, text: str) -> DataFrame:
         """(id, term, tf): stop words and stems are looked at row by row, in generated code."""
         rows = occurrences(df, T.tokenize(F.col(text)), id, self.use_bigrams)
@@ -131,12 +139,14 @@ class TFIDFEmbedder:
     def fit(self, df: DataFrame, text: str = "text", id: str | None = None) -> TFIDFEmbedder:
         """Terms by total frequency, equal ones by name; (idx, term, df, idf).
 
-        With ``id`` the counts are those that :meth:`sparse` makes of the same table, so a plan with both shuffles them once.
+        With ``id`` the texts of a repeated id are one document.
         """
-        if id is None:
-            id, df = "_row", df.select(F.monotonically_increasing_id().alias("_row"), text)
         n = df.select(F.count("*").alias("n"))
-        stats = self.counts(df, id, text).groupBy("term").agg(F.sum("tf").alias("freq"), F.count("*").alias("df")).where(F.col("df") >= self.min_df)
+        if id is None or kernels.unique(df, id):
+            stats = kernels.term_totals(df, text, self._terms).select("term", F.col("frequency").alias("freq"), F.col("doc_frequency").alias("df"))
+        else:
+            stats = self.counts(df, id, text).groupBy("term").agg(F.sum("tf").alias("freq"), F.count("*").alias("df"))
+        stats = stats.where(F.col("df") >= self.min_df)
         top = stats.orderBy(F.desc("freq"), "term").limit(self.max_features)  # the window below orders these few only
         idf = F.log((n.scalar().cast("double") + 1) / (F.col("df") + 1)) + 1 if self.use_idf else F.lit(1.0)
         self.terms = top.select((F.row_number().over(Window.orderBy(F.desc("freq"), "term")) - 1).cast("long").alias("idx"), "term", "df", idf.alias("idf"))
@@ -145,6 +155,9 @@ class TFIDFEmbedder:
     def sparse(self, df: DataFrame, id: str = "chunk_id", text: str = "text") -> DataFrame:
         if self.terms is None:
             raise ValueError("fit first")
+        if self.max_features <= 200_000 and kernels.unique(df, id):
+            held = self.terms.select("term", "idx", (F.col("idf") * _boost(F.col("term"), self.vocabulary, self.domain_boost)).cast("double")).collect()  # max_features rows
+            return kernels.weighted_rows(df, id, text, self._terms, [tuple(r) for r in held], self.sublinear_tf, self.normalize)
         tf = 1 + F.log("tf") if self.sublinear_tf else F.col("tf")
         weight = tf * F.col("idf") * _boost(F.col("term"), self.vocabulary, self.domain_boost)
         terms = F.broadcast(self.terms) if self.max_features <= 200_000 else self.terms

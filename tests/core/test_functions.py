@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions import text as T
-from lexispark.operators import embed, learned, vectors
+from lexispark.operators import embed, kernels, learned, vectors
 from lexispark.operators import match as M
 from lexispark.plans.queries import VOCABULARY
 from lexispark.sources.vocabulary import Vocabulary
@@ -244,3 +244,43 @@ def test_long_texts_without_blanks(spark):
     assert [len(x) for x in column(spark, long, T.strip_tags)][-2:] == [3, 1_000_000]
     for f in (T.sanitize_for_llm, T.tokenize, T.extract_tal_keywords, T.is_heading):
         assert len(column(spark, long, f)) == len(long)
+
+
+def test_kernels_read_terms_as_columns_do(spark, texts):
+    rng = random.Random(11)
+    odd = ["".join(rng.choices("ab z9_-. \u00e9\u0301\u00b2\u00bd\u2460\u24b6\u203f\u200d\u00a0\x1c\x0b\n", k=30)) for _ in range(400)]
+    some = [t.lower() for t in texts[:40]] + odd
+    for config in (learned.Config(), learned.Config(extract_trigrams=False, min_term_length=1)):
+        read = learned._term_reader(config)
+        assert [read(t) for t in some] == column(spark, some, lambda x: learned.document_terms(x, config))  # noqa: B023
+    words = sorted({w for t in some for w in t.split()})
+    assert [kernels.stem(w) for w in words] == column(spark, words, T.stem)
+
+
+def test_sparse_rows_without_shuffle(spark, texts):
+    """Where ids are unique nothing is shuffled by text and term; repeated ids make one document, with the same rows as its texts joined."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:40])] + [(99, None)], "i long, text string")
+    joined = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts[:40])], "i long, text string")
+    for model in (embed.HashEmbedder(VOCABULARY, 100, use_bigrams=False), embed.TFIDFEmbedder(VOCABULARY, use_bigrams=False, max_features=500)):
+        assert "Exchange" not in model.fit(df, "text").sparse(df, "i")._jdf.queryExecution().executedPlan().toString()
+        one = df.where("text IS NOT NULL").groupBy(F.floor(F.col("i") / 2).alias("i")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("i", "text")))["text"], "\n").alias("text"))
+        rows = lambda x: sorted((r.i, r.idx, round(r.weight, 9)) for r in model.sparse(x, "i").collect())  # noqa: B023, E731
+        assert rows(joined) == rows(one)
+
+
+def test_window_pairs_of_many_terms(spark):
+    """Pairs of more terms than a dense table holds, and of terms that overlap themselves, against brute force."""
+    terms = ["aa", "ab", "ba", *[f"x{i}" for i in range(2100)]]
+    some = ["aaab aab x7 aaa x8", "baab" * 20, "x1 x2 x3", None, ""]
+
+    def brute(text):
+        at = [(m.start(), t) for t in terms for m in re.finditer(re.escape(t), text or "")]
+        return [tuple(sorted((a[1], b[1]))) for i, a in enumerate(at) for b in at[i + 1 :] if a[1] != b[1] and abs(a[0] - b[0]) <= 50]
+
+    want = {}
+    for pair in (p for t in some for p in brute(t)):
+        want[pair] = want.get(pair, 0) + 1
+    df = spark.createDataFrame([(t,) for t in some], "text string")
+    for own in (terms, [t for t in terms if len(t) < 4]):
+        got = {(r.t1, r.t2): r.cnt for r in learned.cooccurrence(df, own, learned.Config(min_cooccurrence=1)).collect()}
+        assert got == want
