@@ -40,37 +40,57 @@ SEVERE = ["ERROR", "FATAL", "CRITICAL"]
 NAMES = ["timestamp", "level", "message", "trace_id", "transaction_id", "request_id", "fields", "is_error", "error_code"]
 
 
+def text_columns(line: Column, level: Column) -> dict[str, Column]:
+    """A line of text as the columns of an entry."""
+    found = {name: _found(line, name) for name in PATTERNS}
+    pairs = F.filter(F.array(*[F.struct(F.lit(f).alias("key"), found[f].alias("value")) for f in FIELDS]), lambda x: x["value"].isNotNull())
+    wrong = F.when(level.isNotNull(), level.isin(SEVERE)).otherwise(F.contains(F.lower(line), F.lit("error")))
+    return found | {"level": level, "message": line, "fields": F.map_from_entries(pairs), "is_error": wrong}
+
+
 def text_entry(line: Column) -> Column:
     """A line of text as an entry."""
-    found = {name: F.nullif(F.regexp_extract(line, f"(?iU){pattern}", group), F.lit("")) for name, (pattern, group) in PATTERNS.items()}
-    level = F.upper(found["level"])
-    pairs = F.filter(F.array(*[F.struct(F.lit(f).alias("key"), found[f].alias("value")) for f in FIELDS]), lambda x: x["value"].isNotNull())
-    return F.struct(
-        found["timestamp"].alias("timestamp"), level.alias("level"), line.alias("message"), found["trace_id"].alias("trace_id"),
-        found["transaction_id"].alias("transaction_id"), found["request_id"].alias("request_id"), F.map_from_entries(pairs).alias("fields"),
-        F.when(level.isNotNull(), level.isin(SEVERE)).otherwise(F.contains(F.lower(line), F.lit("error"))).alias("is_error"), found["error_code"].alias("error_code"),
-    )
+    columns = text_columns(line, F.upper(_found(line, "level")))
+    return F.struct(*[columns[n].alias(n) for n in NAMES])
+
+
+def _found(line: Column, name: str) -> Column:
+    pattern, group = PATTERNS[name]
+    return F.nullif(F.regexp_extract(line, f"(?iU){pattern}", group), F.lit(""))
 
 
-def json_entry(line: Column) -> Column:
-    """A JSON object as an entry. Empty, zero and false values count as missing."""
-    data = F.from_json(line, "map<string,string>")
+def json_columns(line: Column, data: Column, level: Column) -> dict[str, Column]:
+    """A JSON object, parsed to a map, as the columns of an entry."""
+    found = {name: _alias(line, data, name) for name in ALIASES if name != "level"}
+    return found | {"level": level, "message": F.coalesce(found["message"], line), "fields": data, "is_error": F.coalesce(level.isin(SEVERE), F.lit(False))}
+
+
+def _alias(line: Column, data: Column, name: str) -> Column:
+    """The first value under the names that a field goes by. Empty, zero and false values count as missing."""
 
     def value(name: str) -> Column:
         void = data[name].isin("0", "0.0", "false", "[]", "{}") & line.rlike(rf'"{re.escape(name)}"\s*:\s*(?:0|0\.0|false|\[\]|\{{\}})\s*[,}}]')  # not if it is a string
         return F.when((data[name] != "") & ~void, data[name])
 
-    found = {name: F.coalesce(*map(value, names)) for name, names in ALIASES.items()}
-    level = F.upper(found["level"])
-    return F.struct(
-        found["timestamp"].alias("timestamp"), level.alias("level"), F.coalesce(found["message"], line).alias("message"), found["trace_id"].alias("trace_id"),
-        found["transaction_id"].alias("transaction_id"), found["request_id"].alias("request_id"), data.alias("fields"),
-        F.coalesce(level.isin(SEVERE), F.lit(False)).alias("is_error"), found["error_code"].alias("error_code"),
-    )
+    return F.coalesce(*map(value, ALIASES[name]))
+
+
+def _entries(df: DataFrame, record: Column) -> DataFrame:
+    """(path, line_number, ...) of (path, line_number, _line).
+
+    What several columns need, a parsed record and a level, is a column of its own before them, so it is computed once; each
+    column of an entry stands for itself, so those that nobody reads aren't computed.
+    """
+    line, data, level = F.col("_line"), F.col("_data"), F.col("_level")
+    df = df.select("path", "line_number", "_line", record.alias("_record"))
+    df = df.select("*", F.when(F.col("_record"), F.from_json(line, "map<string,string>")).alias("_data"))
+    df = df.select("*", F.upper(F.when(F.col("_record"), _alias(line, data, "level")).otherwise(_found(line, "level"))).alias("_level"))
+    own, other = json_columns(line, data, level), text_columns(line, level)
+    return df.select("path", "line_number", *[F.when(F.col("_record"), own[n]).otherwise(other[n]).alias(n) for n in NAMES])
 
 
 def is_object(line: Column) -> Column:
-    return line.rlike(r"(?s)^\{.*\}$") & F.try_parse_json(line).isNotNull()
+    return F.startswith(line, F.lit("{")) & F.endswith(line, F.lit("}")) & F.try_parse_json(line).isNotNull()
 
 
 def is_json_lines(text: Column) -> Column:
@@ -82,27 +102,27 @@ def is_json_lines(text: Column) -> Column:
 
 def is_json_array(text: Column) -> Column:
     t = T.strip(text)
-    return t.rlike(r"(?s)^\[.*\]$") & F.try_parse_json(t).isNotNull()
+    return F.startswith(t, F.lit("[")) & F.endswith(t, F.lit("]")) & F.try_parse_json(t).isNotNull()
 
 
 def entries(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, line_number, timestamp, level, ...) of whole files, whichever format each has."""
-    array = is_json_array(F.col(text)) & ~is_json_lines(F.col(text))
-    items = F.transform(F.variant_get(F.try_parse_json(T.strip(F.col(text))), "$", "array<variant>"), lambda v: F.to_json(v))
-    lines = F.transform(F.split(text, "\n", -1), T.strip)
-    df = df.select(F.col(path).alias("path"), array.alias("_a"), is_json_lines(F.col(text)).alias("_j"), F.posexplode(F.when(array, items).otherwise(lines)).alias("_n", "_line"))
-    df = df.where("_line <> ''")
-    record = (F.col("_a") | F.col("_j")) & is_object(F.col("_line"))
-    entry = F.when(record, json_entry(F.col("_line"))).otherwise(text_entry(F.col("_line")))
-    return df.select("path", (F.col("_n") + 1).alias("line_number"), entry.alias("e")).select("path", "line_number", "e.*")
+    df = df.select(F.col(path).alias("path"), F.col(text).alias("_text"), T.strip(F.col(text)).alias("_t"), is_json_lines(F.col(text)).alias("_j"))
+    bracket = F.startswith("_t", F.lit("[")) & F.endswith("_t", F.lit("]"))
+    df = df.select("path", "_text", "_j", F.when(bracket & ~F.col("_j"), F.try_parse_json("_t")).alias("_v"))  # null but for arrays
+    items = F.transform(F.variant_get("_v", "$", "array<variant>"), lambda v: F.to_json(v))
+    lines = F.transform(F.split("_text", "\n", -1), T.strip)
+    array = F.col("_v").isNotNull()
+    df = df.select("path", array.alias("_a"), "_j", F.posexplode(F.when(array, items).otherwise(lines)).alias("_n", "_line"))
+    df = df.where("_line <> ''").select("path", (F.col("_n") + 1).alias("line_number"), "_line", "_a", "_j")
+    return _entries(df, F.when(F.col("_a"), F.startswith("_line", F.lit("{"))).otherwise(F.col("_j") & is_object(F.col("_line"))))  # items were parsed
 
 
 def line_entries(df: DataFrame, path: str = "path", line_number: str = "line_number", line: str = "line") -> DataFrame:
     """As :func:`entries`, for one line in a row: JSON objects are records, other lines text."""
     t = T.strip(F.col(line))
     df = df.select(F.col(path).alias("path"), F.col(line_number).alias("line_number"), t.alias("_line")).where("_line <> ''")
-    entry = F.when(is_object(F.col("_line")), json_entry(F.col("_line"))).otherwise(text_entry(F.col("_line")))
-    return df.select("path", "line_number", entry.alias("e")).select("path", "line_number", "e.*")
+    return _entries(df, is_object(F.col("_line")))
 
 
 def last_wins(entries: Column) -> Column:

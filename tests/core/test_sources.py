@@ -83,6 +83,14 @@ LINES = [
 ]
 
 
+def test_records_are_parsed_once(spark):
+    """What an entry takes from a record doesn't parse it anew, and columns that nobody reads aren't computed."""
+    df = spark.createDataFrame([("a", "\n".join(LINES[:1] * 3))], "path string, text string")
+    plan = logs.entries(df).select("line_number", "message", "is_error", "trace_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and "omad" not in plan.lower()
+    assert logs.line_entries(df.select("path", F.lit(1).alias("line_number"), F.col("text").alias("line")))._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
 def test_json_lines(spark):
     df = spark.createDataFrame([("a.jsonl", "\n".join(LINES))], "path string, text string")
     got = logs.entries(df).orderBy("line_number").collect()
