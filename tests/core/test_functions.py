@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -246,6 +247,24 @@ def test_long_texts_without_blanks(spark):
         assert len(column(spark, long, f)) == len(long)
 
 
+def test_batch_topk_in_tiles(monkeypatch):
+    """Many vectors and queries at once: a tile of scores at a time, in bounded memory; scores that differ beyond nine digits tie."""
+    rng = np.random.default_rng(3)
+    v, q = rng.normal(size=(20_000, 16)), rng.normal(size=(500, 16))
+    v[100:200] = v[100] * (1 + 1e-12 * rng.normal(size=(100, 16)))
+    q[0] = v[100]
+    batch = pa.record_batch({"id": pa.array(range(len(v), 0, -1)), "v": pa.array(v.tolist())})
+    tracemalloc.start()
+    out = pa.Table.from_batches(vectors._best(list(range(500)), q, 3)(iter([batch]))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6, peak  # all scores at once: 80 MB for each of several arrays
+    score = (v @ q.T / (np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(q, axis=1)) + 1e-8)).round(9)
+    for j in range(500):
+        best = sorted(range(len(v)), key=lambda i: (-score[i, j], len(v) - i))[:3] if j < 3 else np.lexsort((-np.arange(len(v)), -score[:, j]))[:3]  # noqa: B023
+        assert [r["id"] for r in out if r["query_id"] == j] == [len(v) - i for i in best]
+
+
 def test_kernels_read_terms_as_columns_do(spark, texts):
     rng = random.Random(11)
     odd = ["".join(rng.choices("ab z9_-. \u00e9\u0301\u00b2\u00bd\u2460\u24b6\u203f\u200d\u00a0\x1c\x0b\n", k=30)) for _ in range(400)]
