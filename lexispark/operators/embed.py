@@ -185,16 +185,21 @@ class BM25Embedder:
         return T.remove_stopwords(T.tokenize(text))
 
     def fit(self, df: DataFrame, text: str = "text", id: str | None = None) -> BM25Embedder:
-        """With ``id`` the counts are those that :meth:`sparse` makes of the same table, so a plan with both shuffles them once."""
-        if id is None:
-            id, df = "_row", df.select(F.monotonically_increasing_id().alias("_row"), text)
-        n, total = df.select(self.tokens(F.col(text)).alias("_t")).agg(F.count("*"), F.sum(F.size("_t"))).first()
-        self.average = (total or 0) / n if n else 1.0
-        stats = self.counts(df, id, text).groupBy("term").agg(F.count("*").alias("df"))
+        """With ``id`` the texts of a repeated id count as one document."""
+        n, total = df.count(), kernels.n_terms(df, text, self._terms)
+        self.average = total / n if n else 1.0
+        if id is None or kernels.unique(df, id):
+            stats = kernels.term_totals(df, text, self._terms).select("term", F.col("doc_frequency").alias("df"))
+        else:
+            stats = self.counts(df, id, text).groupBy("term").agg(F.count("*").alias("df"))
         idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         self.terms = stats.select("term", "df", idf.alias("idf"))
         return self
 
+    @property
+    def _terms(self):
+        return lambda: kernels.hash_terms(False)
+
     def counts(self, df: DataFrame, id: str, text: str) -> DataFrame:
         """(id, term, tf, n): n is the number of tokens of the text."""
         df = df.select(id, self.tokens(F.col(text)).alias("_t"))
@@ -204,6 +209,9 @@ class BM25Embedder:
         """(id, term, weight): dimensions are the terms themselves."""
         if self.terms is None:
             raise ValueError("fit first")
+        if kernels.unique(df, id):
+            terms = self.terms.select("term", (F.col("idf") * _boost(F.col("term"), self.vocabulary, self.domain_boost)).alias("factor"))
+            return kernels.bm25_rows(df, id, text, self._terms, terms, self.k1, self.b, self.average or 1.0)
         counts = self.counts(df, id, text)
         part = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("n") / (self.average or 1.0)))
         weight = F.col("idf") * part * _boost(F.col("term"), self.vocabulary, self.domain_boost)

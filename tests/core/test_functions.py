@@ -287,6 +287,19 @@ def test_sparse_rows_without_shuffle(spark, texts):
         assert rows(joined) == rows(one)
 
 
+def test_bm25_in_buckets(spark, texts, monkeypatch):
+    """Texts are weighed bucket by bucket with the same rows as by pairs of text and term, which aren't shuffled any more."""
+    df = spark.createDataFrame([*enumerate(texts[:60]), (99, None), (100, "")], "i long, text string")
+    rows = lambda x: sorted((r.i, r.term, round(r.weight, 9)) for r in x.collect())
+    monkeypatch.setattr(kernels, "BUCKET", 20_000)
+    model = embed.BM25Embedder(VOCABULARY).fit(df, id="i")
+    out = model.sparse(df, "i")
+    assert "hashpartitioning(i#" not in out._jdf.queryExecution().executedPlan().toString()
+    got = rows(out)
+    monkeypatch.setattr(kernels, "unique", lambda df, id: False)
+    assert got == rows(embed.BM25Embedder(VOCABULARY).fit(df, id="i").sparse(df, "i")) and got
+
+
 def test_window_pairs_of_many_terms(spark):
     """Pairs of more terms than a dense table holds, and of terms that overlap themselves, against brute force."""
     terms = ["aa", "ab", "ba", *[f"x{i}" for i in range(2100)]]
